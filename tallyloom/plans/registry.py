@@ -1,10 +1,6 @@
 """The registered queries and the SQL they are held against."""
 
-from __future__ import annotations
+from tallyloom.plans import charts, distributions, feedback, matrices  # noqa: F401
+from tallyloom.plans.register import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
