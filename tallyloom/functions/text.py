@@ -33,7 +33,7 @@ def tokens(c: Column) -> Column:
 
 def bridged_tokens(c: Column) -> Column:
     """Tokens, with a null wherever what lies between two is not white space or a hyphen, so that n-grams break there."""
-    marked = F.regexp_replace(c, r"(?<=[A-Za-z'])(?=[^A-Za-z'\s-])|[^A-Za-z'\s-]+", " \u0001 ")
+    marked = F.regexp_replace(c, r"[^A-Za-z'\s-]+", " \u0001 ")
     both = F.regexp_extract_all(marked, F.lit(TOKEN + "|\u0001"), F.lit(0))
     return F.transform(both, lambda t: F.when(t != "\u0001", t))
 

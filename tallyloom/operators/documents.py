@@ -75,7 +75,7 @@ def checks(c: Column) -> dict[str, Column]:
 
 def repaired(c: Column) -> Column:
     """Stray bars and brackets as I, hyphen-broken words joined, broken lines joined."""
-    for pattern, by in ((r"(?<=\s|^)[|\]\[](?=\s)", "I"), (r"([A-Za-z])-\n([a-z])", "$1$2"), (r"([a-z,;])\n([a-z])", "$1 $2")):
+    for pattern, by in ((r"(^|\s)[|\]\[](\s)", "$1I$2"), (r"([A-Za-z])-\n([a-z])", "$1$2"), (r"([a-z,;])\n([a-z])", "$1 $2")):
         c = F.regexp_replace(c, pattern, by)
     return c
 
