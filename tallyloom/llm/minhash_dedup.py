@@ -12,7 +12,9 @@ Banding: `bands` keys of `rows` slots each.  With 28 x 4 a pair at 0.80 meets in
 20 x 4 one at 0.85.
 
 Pairs: not all pairs of a bucket are made.  First each member is compared with its bucket's hub (linear in the
-bucket).  Members not in the hub's component then meet the members of other components in their buckets, if the numbers
+bucket).  While buckets would make more pairs than they have members, each with members outside the hub's component
+gets one more hub, the member nearest on average to the hubs it met, which is compared with the others and leaves.
+Members not in the hub's component then meet the members of other components in their buckets, if the numbers
 of shingles that occur elsewhere and the exact distances to the hub allow a link at all (the Jaccard distance is a
 metric).  After that no two documents of
 a bucket are unlinked without a comparison or a proof, so components are whole.
@@ -38,6 +40,8 @@ from tallyloom.llm.hashing import MASK, WordHash, grams, mix
 
 _CACHE = WordHash()
 BATCH_BYTES = 4 << 20
+#: How often buckets may get further hubs before the pairs left are made.
+HUB_TURNS = 4
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,20 +157,38 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     spokes = buckets.where(possible("n", "c", "hub_n", "hub_shared")).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
     first = scratch.keep(_verified(spokes, sets, percent), "first")
 
-    # those that are not with their hub meet the others of their buckets
-    stars = components(first.where("linked").select("u", "v"), scratch, "star").select(F.col("node").alias("rep"), F.col("component").alias("k"))
-    named = buckets.join(stars, "rep", "left").select("band", "rep", "n", "c", "hub", F.coalesce("k", "rep").alias("k"))
-    named = named.join(stars.select(F.col("rep").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").withColumn("hub_k", F.coalesce("hub_k", "hub"))
-    named = named.join(first.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "distance"), ["hub", "rep"], "left")
-    named = scratch.keep(named, "named")
+    # a bucket of which many are not with their hub gets further hubs, the members that were nearest to their hubs
+    links = first.where("linked").select("u", "v")
+    central = first.groupBy(F.col("v").alias("rep")).agg(F.avg("distance").alias("score"))
+    members = buckets.join(first.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "distance"), ["hub", "rep"], "left").select("band", "rep", "n", "c", "hub", "distance")
+    reach = 1 - percent / 100 + 1e-9
+    turn = 0
+    while True:
+        stars = scratch.keep(components(links, scratch, f"star{turn}_").select(F.col("node").alias("rep"), F.col("component").alias("k")), f"stars{turn}")
+        named = members.join(stars, "rep", "left").withColumn("k", F.coalesce("k", "rep"))
+        named = named.join(stars.select(F.col("rep").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").withColumn("hub_k", F.coalesce("hub_k", "hub"))
+        named = scratch.keep(named.select("band", "rep", "n", "c", "hub", "distance", "k", "hub_k"), f"named{turn}")
+        sizes = named.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("k") != F.col("hub_k")).alias("away"))
+        total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("away")).alias("pairs"), F.sum("size").alias("rows")).first()
+        if turn == HUB_TURNS or not total["rows"] or total["pairs"] <= total["rows"]:
+            break
+        turn += 1
+        nearest = F.min(F.struct(F.coalesce("score", F.lit(2.0)).alias("score"), F.col("rep"), F.col("n"), F.col("c"), F.col("k"), F.col("distance"))).alias("h")
+        more = named.join(central, "rep", "left").groupBy("band").agg(nearest, F.count_if(F.col("k") != F.col("hub_k")).alias("away")).where("away > 0")
+        more = scratch.keep(more.select("band", F.col("h.rep").alias("hub2"), F.col("h.n").alias("n2"), F.col("h.c").alias("c2"), F.col("h.k").alias("k2"), F.col("h.distance").alias("d2")), f"hubs{turn}")
+        met = named.join(more, "band").where(f"rep <> hub2 and k <> k2 and {possible('n', 'c', 'n2', 'c2')} and (distance is null or d2 is null or abs(distance - d2) <= {reach!r})")
+        found = _verified(met.select(F.col("hub2").alias("u"), F.col("rep").alias("v")).distinct(), sets, percent).where("linked").select("u", "v")
+        links = scratch.keep(links.unionByName(found), f"links{turn}")
+        members = named.join(more.select("band", "hub2"), "band", "left").where("hub2 is null or rep <> hub2").select("band", "rep", "n", "c", "hub", "distance")
+
+    # those that are not with their hub even so meet the others of their buckets
     away = named.where("k <> hub_k").select("band", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("k").alias("vk"), F.col("distance").alias("vd"))
     other = named.select("band", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("c").alias("uc"), F.col("k").alias("uk"), "hub_k", F.col("distance").alias("ud"))
-    reach = 1 - percent / 100 + 1e-9
     rest = other.join(away, "band").where(f"uk <> vk and (uk = hub_k or u < v) and {possible('un', 'uc', 'vn', 'vc')} and (ud is null or vd is null or abs(ud - vd) <= {reach!r})")
     rest = scratch.keep(rest.select("u", "v").distinct(), "rest")
     second = _verified(rest, sets, percent).where("linked").select("u", "v")
-    links = scratch.keep(first.where("linked").select("u", "v").unionByName(second), "links")
-    for name in ("sets", "buckets", "named", "rest"):
+    links = scratch.keep(links.unionByName(second), "links")
+    for name in ("sets", "buckets", f"named{turn}", "rest"):
         scratch.drop(name)
     final = components(links, scratch, "whole").select(F.col("node").alias("rep"), "component")
     named = scratch.keep(classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "final")
