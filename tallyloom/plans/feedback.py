@@ -60,7 +60,7 @@ def funnel_track_range(spark, sf_dir):
     return funnel.track_range(funnel.all_rules(throws(spark, sf_dir), KEYS), [*KEYS, "rule"])
 
 
-@query(f"{_RUN}, b AS (SELECT *, lag(rest) OVER (PARTITION BY l_suppkey, rule ORDER BY t) AS p FROM r) SELECT l_suppkey, rule, round(corr(rest, p), 6) AS r FROM b WHERE p IS NOT NULL GROUP BY 1, 2")
+@query(f"{_RUN}, b AS (SELECT *, lag(rest) OVER (PARTITION BY l_suppkey, rule ORDER BY t) AS p FROM r) SELECT l_suppkey, rule, round(corr(rest, p), 6) + 0.0 AS r FROM b WHERE p IS NOT NULL GROUP BY 1, 2")
 def lag1_autocorr(spark, sf_dir):
     return rounded(series.lag1_correlation(funnel.all_rules(throws(spark, sf_dir), KEYS), [*KEYS, "rule"], ["t"], "rest"))
 
