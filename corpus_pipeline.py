@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("repeated passages", repeats), ("mixture", mixture), ("packing", packed)]
 
-#: Expectation-maximisation, drawing and tokenization are not expressed in SQL; tests hold run() against brute force.
+#: Expectation-maximisation, drawing and tokenization are not expressed in SQL.
 ORACLE_SQL = None
 
 
