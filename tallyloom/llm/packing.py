@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, by_bytes
-from tallyloom.llm.token_counts import _STATE, KEPT, encoded, local_file
+from tallyloom.llm.token_counts import _STATE, encoded, kept_pieces, local_file
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, window int, ids binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -136,8 +136,8 @@ def _pack_rows(file: str, end: int, size: int, open_windows: int, cut: int, batc
         task = TaskContext.get().partitionId()
         packer = Packer(size, open_windows, task << 32, cut)
         for batch in by_bytes(batches, "text", batch_bytes):
-            split = [KEPT.findall((t or b"").decode()) for t in batch.column("text").to_pylist()]
-            fresh = [p for p in set().union(*split) if p not in known]
+            split = [kept_pieces((t or b"").decode()) for t in batch.column("text").to_pylist()]
+            fresh = list(set().union(*split).difference(known))
             new = dict(zip(fresh, [np.array(x, "<u4").tobytes() for x in encoded(path, fresh, 64 << 10)]))
             if len(known) < remember:
                 known.update(new)

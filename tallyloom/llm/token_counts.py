@@ -28,9 +28,17 @@ from tallyloom.llm.common import by_bytes
 #: A piece of a text for tokenizers that keep spaces.  Where other white space than ASCII's stands before a space, the
 #: piece goes on.
 KEPT = re.compile("[ \\t\\n\\r\\x0b\\x0c]*[^ \\t\\n\\r\\x0b\\x0c]+(?:(?<=[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[ \\t\\n\\r\\x0b\\x0c]+[^ \\t\\n\\r\\x0b\\x0c]*)*|[ \\t\\n\\r\\x0b\\x0c]+")
+#: The same where no such white space is, and what finds out.
+PLAIN = re.compile("[ \\t\\n\\r\\x0b\\x0c]*[^ \\t\\n\\r\\x0b\\x0c]+|[ \\t\\n\\r\\x0b\\x0c]+")
+WIDE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _STATE: dict[str, object] = {}
 
 
+def kept_pieces(text: str) -> list[str]:
+    """A text split for tokenizers that keep spaces."""
+    return (PLAIN if text.isascii() or not WIDE.search(text) else KEPT).findall(text)
+
+
 def tokenizer(path: str):
     """The tokenizer of a file on this worker, loaded once; one thread, without truncation or padding."""
     import os
@@ -88,7 +96,7 @@ def _count_rows(file: str, spaces: str, batch_bytes: int, call_bytes: int, remem
             elif spaces == "dropped":
                 split = [t.split() for t in texts]
             else:
-                split = [KEPT.findall(t.decode()) for t in texts]
+                split = [kept_pieces(t.decode()) for t in texts]
             fresh = [p for p in set().union(*split) if p not in known]
             new = dict(zip(fresh, map(len, encoded(path, [p.decode() if isinstance(p, bytes) else p for p in fresh], call_bytes))))
             if path.endswith(".json") and len(known) < remember:
