@@ -59,7 +59,7 @@ def interval_counts(spark, sf_dir):
 
 @query("SELECT p_size AS position, u.n AS level FROM (SELECT p_size, least(count(*), 8) AS c FROM part GROUP BY 1), LATERAL (SELECT unnest(generate_series(1, c)) AS n) u")
 def weighted_bins_expanded(spark, sf_dir):
-    bins = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("position")).agg(F.least(F.count(F.lit(1)), F.lit(8)).alias("count"))
+    bins = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("position")).agg(F.count(F.lit(1)).alias("count"))
     return histograms.expanded(bins).select("position", "level")
 
 
