@@ -40,7 +40,7 @@ def histogram_pdf_overlay(spark, sf_dir):
 
 @query(f"WITH {LINE_SQL} SELECT l_suppkey, l_quantity AS value, i, row_number() OVER (PARTITION BY l_suppkey, l_quantity ORDER BY i) AS level FROM li WHERE i < 100")
 def stacked_boxes(spark, sf_dir):
-    li = supplier_lines(spark, sf_dir).where("i < 100").select("l_suppkey", F.col("l_quantity").alias("value"), F.col("i").cast("long").alias("i"))
+    li = supplier_lines(spark, sf_dir).select("l_suppkey", F.col("l_quantity").alias("value"), F.col("i").cast("long").alias("i"))
     return series.stacked(li, ["l_suppkey"], "value", ["i"])
 
 

@@ -7,6 +7,14 @@ import pytest
 from tallyloom.plans import registry
 
 
+LINE_SCHEMA = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
+
+
+def lines(sizes):
+    """Line items in their order: {supplier: how many}."""
+    return [(k, k * k % 11, s, 1, float(k % 3), 1.0, "N", None) for s, n in sizes.items() for k in range(n)]
+
+
 @pytest.fixture
 def folder(spark, tmp_path):
     """Writes tables given as (name, rows, schema); returns their folder."""
@@ -24,3 +32,14 @@ def test_weighted_bins_expanded(spark, folder):
     sf_dir = folder(("part", [(i, s) for i, s in enumerate(sizes)], "p_partkey long, p_size int"))
     got = Counter((r.position, r.level) for r in registry.QUERIES["weighted_bins_expanded"](spark, sf_dir).collect())
     assert got == Counter((s, level) for s, n in Counter(sizes).items() for level in range(1, n + 1))
+
+
+def test_stacked_boxes(spark, folder):
+    rows = lines({1: 230, 2: 100, 3: 1})
+    sf_dir = folder(("lineitem", rows, LINE_SCHEMA))
+    want, height = set(), Counter()
+    for k, _, supplier, _, value, *_ in rows:
+        height[supplier, value] += 1
+        want.add((supplier, value, k, height[supplier, value]))
+    got = [(r.l_suppkey, r.value, r.i, r.level) for r in registry.QUERIES["stacked_boxes"](spark, sf_dir).collect()]
+    assert len(got) == len(rows) and set(got) == want
