@@ -64,13 +64,15 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
 
 
 def lag1_correlation(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """(keys..., r): correlation of a series with itself one step on (A18)."""
+    """(keys..., r): correlation of a series with itself one step on (A18); null without variance, where corr fails."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_b", before).where("_b is not null").groupBy(*keys).agg(F.corr(value, "_b").alias("r"))
+    spread = F.stddev_pop(value) * F.stddev_pop(F.when(F.col(value).isNotNull(), F.col("_b")))
+    return df.withColumn("_b", before).where("_b is not null").groupBy(*keys).agg(F.try_divide(F.covar_pop(value, "_b"), spread).alias("r"))
 
 
 def half_ratio(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys..., ratio): sample deviation of the second half of a series (t > n / 2) to the first's (A18)."""
+    """(keys..., ratio): sample deviation of the second half of a series (t > n / 2) to the first's (A18); null if that
+    is 0 or a half has fewer than two rows."""
     n = df.groupBy(*keys).agg(F.max("t").alias("_n"))
     met = df.join(n, keys)
-    return met.groupBy(*keys).agg((F.stddev_samp(F.when(F.col("t") > F.col("_n") / 2, F.col(value))) / F.stddev_samp(F.when(F.col("t") <= F.col("_n") / 2, F.col(value)))).alias("ratio"))
+    return met.groupBy(*keys).agg(F.try_divide(F.stddev_samp(F.when(F.col("t") > F.col("_n") / 2, F.col(value))), F.stddev_samp(F.when(F.col("t") <= F.col("_n") / 2, F.col(value)))).alias("ratio"))

@@ -1,4 +1,4 @@
-"""Queries: the feedback rules over dice made of line items, 40 stages a supplier."""
+"""Queries: the feedback rules over dice made of line items: a supplier's in runs of 40 stages, the last as long as it is."""
 
 from __future__ import annotations
 
@@ -10,14 +10,14 @@ from tallyloom.plans.charts import LINE_SQL, rounded, supplier_lines
 from tallyloom.plans.register import query
 
 STAGES = 40
-KEYS = ["l_suppkey"]
+KEYS = ["l_suppkey", "run"]
 
 
 def throws(spark, sf_dir: str) -> DataFrame:
-    """(l_suppkey, t, score, e)."""
-    li = supplier_lines(spark, sf_dir).where(F.col("i") < STAGES)
+    """(l_suppkey, run, t, score, e)."""
+    li = supplier_lines(spark, sf_dir)
     score = F.pmod("l_partkey", F.lit(6)) + 1 + F.pmod("l_orderkey", F.lit(6)) + 1
-    out = li.select("l_suppkey", (F.col("i") + 1).cast("long").alias("t"), score.alias("score"))
+    out = li.select("l_suppkey", F.floor(F.col("i") / STAGES).alias("run"), (F.col("i") % STAGES + 1).cast("long").alias("t"), score.alias("score"))
     return out.withColumn("e", funnel.displacement(F.col("score")))
 
 
@@ -88,7 +88,7 @@ def funnel_revealed(spark, sf_dir):
 )
 def funnel_blocks(spark, sf_dir):
     b = funnel.blocks(funnel.stages(throws(spark, sf_dir), KEYS, 2), KEYS, ["marble"])
-    return b.select("l_suppkey", "block", *[F.col(f"`{i}`").alias(f"place_{i}") for i in range(1, 15)])
+    return b.select(*KEYS, "block", *[F.col(f"`{i}`").alias(f"place_{i}") for i in range(1, 15)])
 
 
 @query("SELECT f.f AS funnel, m.m AS marble, f.f - (m.m - 30) AS rule_2, 60 - m.m AS rule_3 FROM range(20, 41) f(f), range(20, 41) m(m)")
