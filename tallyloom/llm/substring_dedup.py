@@ -69,12 +69,12 @@ def _anchor_rows(window: int, anchor: int):
 
 
 def _passage_rows(window: int, anchor: int):
-    """(anchor, passage, doc_id, start): the runs of windows around a recurring anchor; for hot ones each window."""
+    """(anchor, passage, doc_id, version, start): the runs of windows around a recurring anchor; for hot ones each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            shard, passage, ids, starts = [], [], [], []
-            for doc_id, text, wanted, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "anchors", "hot"))):
+            shard, passage, ids, versions, starts = [], [], [], [], []
+            for doc_id, version, text, wanted, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "anchors", "hot"))):
                 ws = text.split()
                 h = _CACHE.of(ws)
                 best, at = anchors(h, window, anchor)
@@ -94,8 +94,9 @@ def _passage_rows(window: int, anchor: int):
                     shard.append(int(own[s] if single[s] else mine[s]))
                     passage.append(b" ".join(ws[s : e + window]))
                     ids.append(doc_id)
+                    versions.append(version)
                     starts.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(passage, pa.binary()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32())], names=["shard", "passage", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(passage, pa.binary()), pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(starts, pa.int32())], names=["shard", "passage", "doc_id", "version", "start"])
 
     return run
 
@@ -174,7 +175,8 @@ def _kept_rows(window: int, carry: tuple[str, ...]):
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 13, anchor: int = 6, hot: int = 2000) -> DataFrame:
-    """(doc_id, starts): for each document the first words of its windows that also start in a smaller id."""
+    """(doc_id, version, starts): for each document the first words of its windows that also start in a smaller id;
+    version is the hash of the text, for rows that share an id."""
     if not 0 < anchor <= window:
         raise ValueError("anchor must be between 1 and window")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
@@ -182,15 +184,15 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 13, anchor
     recurring = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     recurring = scratch.keep(recurring.select("anchor", (F.col("n") > hot).alias("hot")), "recurring")
     lists = pairs.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    passages = texts.join(lists, "doc_id").mapInArrow(_passage_rows(window, anchor), "shard long, passage binary, doc_id long, start int")
+    passages = texts.withColumn("version", F.xxhash64("text")).join(lists, "doc_id").mapInArrow(_passage_rows(window, anchor), "shard long, passage binary, doc_id long, version long, start int")
     passages = scratch.keep(passages, "passages")
     scratch.drop("recurring")
     distinct = passages.groupBy("shard", "passage").agg(F.min("doc_id").alias("owner"))
     distinct = distinct.withColumn("key", F.xxhash64("passage")).repartition("shard").sortWithinPartitions("shard")
     owners = distinct.mapInArrow(_owner_rows(window, AUTOMATON), "shard long, key long, owners array<long>")
-    found = passages.select("shard", F.xxhash64("passage").alias("key"), "doc_id", "start").join(owners, ["shard", "key"])
-    found = found.select("doc_id", F.expr("filter(transform(owners, (o, i) -> if(o < doc_id, start + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
-    found = scratch.keep(found.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
+    found = passages.select("shard", F.xxhash64("passage").alias("key"), "doc_id", "version", "start").join(owners, ["shard", "key"])
+    found = found.select("doc_id", "version", F.expr("filter(transform(owners, (o, i) -> if(o < doc_id, start + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
+    found = scratch.keep(found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
     scratch.drop("passages")
     return found
 
@@ -201,6 +203,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 6, hot: int
     scratch = Scratch(docs.sparkSession, "repeats")
     starts = repeated_windows(docs, scratch, window, anchor, hot)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carry)
-    joined = texts.join(starts, "doc_id", "left")
+    joined = texts.join(starts, (texts["doc_id"] == starts["doc_id"]) & (F.xxhash64(texts["text"]) == starts["version"]), "left").select(*[texts[c] for c in texts.columns], "starts")
     kinds = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
     return joined.mapInArrow(_kept_rows(window, carry), f"doc_id long, n_words long, n_removed long, kept_text string{kinds}")
