@@ -1,14 +1,19 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Record batches are cut so that each has about `batch_bytes` of text, however long single texts are.  A text is split at
-safe boundaries and only the lengths of the pieces are added up.  The distinct pieces of a batch that the worker has
-not met yet are encoded in calls of about `call_bytes` each; the lengths of the first `remember` pieces are kept.
-
-Safe boundaries: a tokenizer that drops white space (`spaces="dropped"`, such as a lower-casing BPE with word ends)
-treats what lies between ASCII white space independently.  For one that keeps it (`spaces="kept"`: byte-level BPE,
-where a word takes the space before it along) the boundary is between a non-space and the white space that follows.
-Special strings inside texts contain no white space, so that they stay whole; they count as the library has them by
-default.  sentencepiece models (.model) may join pieces across spaces, so that whole texts are encoded.
+safe boundaries and only the lengths of the pieces are added up.  The distinct pieces of a batch that the worker does
+not remember are encoded in calls of about `call_bytes` each; a worker remembers the last `remember` to twice as many
+pieces, none of more than LONGEST characters.
+
+Safe boundaries follow from the tokenizer's own file (`splitting`):
+dropped: a tokenizer that drops white space (such as a lower-casing BPE with word ends) treats what lies between ASCII
+    white space independently.
+kept: in byte-level BPE a word takes the space before it along, so that the boundary is between a non-space and the
+    white space that follows, and between a letter and an ASCII punctuation mark other than the apostrophe.
+whole: of all others (sentencepiece may join pieces across spaces) whole texts are encoded.
+Special strings inside texts contain no white space and do not begin with a letter (else: whole), so that they stay in
+one piece; they count as the library has them by default.  A run without such a boundary is encoded whole, whatever
+its length, since no cut in it is safe.
 
 Nulls and odd cases: a null text counts as empty; an empty text has no tokens; repeated rows and null ids are returned
 as they are; an empty table gives an empty result; other columns are ignored.
@@ -16,27 +21,82 @@ as they are; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import by_bytes
 
+_W = " \\t\\n\\r\\x0b\\x0c"
+#: White space other than ASCII's.
+WIDE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: A piece of a text for tokenizers that keep spaces.  Where other white space than ASCII's stands before a space, the
 #: piece goes on.
-KEPT = re.compile("[ \\t\\n\\r\\x0b\\x0c]*[^ \\t\\n\\r\\x0b\\x0c]+(?:(?<=[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])[ \\t\\n\\r\\x0b\\x0c]+[^ \\t\\n\\r\\x0b\\x0c]*)*|[ \\t\\n\\r\\x0b\\x0c]+")
-#: The same where no such white space is, and what finds out.
-PLAIN = re.compile("[ \\t\\n\\r\\x0b\\x0c]*[^ \\t\\n\\r\\x0b\\x0c]+|[ \\t\\n\\r\\x0b\\x0c]+")
-WIDE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+KEPT = re.compile(f"[{_W}]*[^{_W}]+(?:(?<={WIDE.pattern})[{_W}]+[^{_W}]*)*|[{_W}]+")
+#: The same where no such white space is: there a piece may also end between a letter and a punctuation mark.
+FINE = re.compile(f"[{_W}]*+[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]++(?=[!-&(-/:-@\\[-`{{-~])|[{_W}]*+[^{_W}]++|[{_W}]+")
+#: Pieces of more characters are not remembered.
+LONGEST = 64
 _STATE: dict[str, object] = {}
 
 
+class Remembered(dict):
+    """What is known of pieces, in two generations of `most` each: the older goes when the younger is full."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older, self.long = most, {}, []
+
+    def __missing__(self, piece):
+        self[piece] = value = self.older[piece]
+        return value
+
+    def unknown(self, pieces: set) -> list:
+        return list(pieces.difference(self.keys(), self.older.keys()))
+
+    def add(self, new: dict) -> None:
+        self.update(new)
+        self.long = [p for p in new if len(p) > LONGEST]
+
+    def trim(self) -> None:
+        """To be called when a batch is done."""
+        for piece in self.long:
+            del self[piece]
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 def kept_pieces(text: str) -> list[str]:
     """A text split for tokenizers that keep spaces."""
-    return (PLAIN if text.isascii() or not WIDE.search(text) else KEPT).findall(text)
+    return (FINE if not WIDE.search(text) else KEPT).findall(text)
+
+
+@lru_cache(maxsize=None)
+def splitting(path: str) -> str:
+    """"dropped", "kept" or "whole": where texts may be cut for the tokenizer of a file; see the module's docstring."""
+    if not path.endswith(".json"):
+        return "whole"
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    if any(re.match(r"\w", a["content"]) or re.search(r"\s", a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in t["added_tokens"]):
+        return "whole"
+    normal, pre = t.get("normalizer"), t.get("pre_tokenizer") or {"type": None}
+    if normal is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]:
+        return "kept"
+    first = pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre
+    plain = all(n["type"] in ("NFC", "NFD", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} for n in (normal.get("normalizers", [normal]) if normal else []))
+    # a split that keeps only runs without white space
+    removes = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or (
+        first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and not re.search(r"(?<!\[\^)\\s|\.| ", first["pattern"].get("Regex", " "))
+    )
+    return "dropped" if plain and removes else "whole"
 
 
 def tokenizer(path: str):
@@ -51,6 +111,8 @@ def tokenizer(path: str):
             t = Tokenizer.from_file(path)
             t.no_truncation()
             t.no_padding()
+            if hasattr(t.model, "_resize_cache"):  # pieces are remembered here
+                t.model._resize_cache(0)
         else:
             import sentencepiece
 
@@ -68,52 +130,51 @@ def local_file(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-def encoded(path: str, pieces: list[str], call_bytes: int) -> Iterator[list[int]]:
-    """Token ids of each piece, encoded in calls of about call_bytes."""
+def encoded(path: str, pieces: list[str], call_bytes: int) -> Iterator[np.ndarray]:
+    """Token ids (unsigned 32-bit) of each piece, encoded in calls of about call_bytes."""
     t = tokenizer(path)
     start = held = 0
     for i in range(len(pieces) + 1):
         if i == len(pieces) or held >= call_bytes:
-            if i > start:
-                if path.endswith(".json"):
-                    for e in t.encode_batch_fast(pieces[start:i], add_special_tokens=False):
-                        yield e.ids
+            if i > start and path.endswith(".json"):
+                # pieces as words of one text: each is split and encoded by itself
+                e = t.encode(pieces[start:i], is_pretokenized=True, add_special_tokens=False)
+                ids, of = np.array(e.ids, np.uint32), np.array([-1 if w is None else w for w in e.word_ids], np.int64)
+                if (of < 0).any():  # special strings
+                    yield from (np.array(e.ids, np.uint32) for e in t.encode_batch_fast(pieces[start:i], add_special_tokens=False))
                 else:
-                    yield from t.encode(pieces[start:i], num_threads=1)
+                    at = np.searchsorted(of, np.arange(i - start + 1)).tolist()
+                    yield from (ids[a:b] for a, b in zip(at, at[1:]))
+            elif i > start:
+                yield from (np.array(x, np.uint32) for x in t.encode(pieces[start:i], num_threads=1))
             start, held = i, 0
         if i < len(pieces):
             held += len(pieces[i])
 
 
-def _count_rows(file: str, spaces: str, batch_bytes: int, call_bytes: int, remember: int):
+def _count_rows(file: str, batch_bytes: int, call_bytes: int, remember: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = local_file(file)
-        known: dict = _STATE.setdefault(f"lengths {path}", {})
+        how = splitting(path)
+        known: Remembered = _STATE.setdefault(f"lengths {path}", Remembered(remember))
         for batch in by_bytes(batches, "text", batch_bytes):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            if not path.endswith(".json"):
-                split = [[t.decode()] for t in texts]
-            elif spaces == "dropped":
-                split = [t.split() for t in texts]
+            if how == "whole":
+                counts = [len(ids) for ids in encoded(path, [t.decode() for t in texts], call_bytes)]
             else:
-                split = [kept_pieces(t.decode()) for t in texts]
-            fresh = [p for p in set().union(*split) if p not in known]
-            new = dict(zip(fresh, map(len, encoded(path, [p.decode() if isinstance(p, bytes) else p for p in fresh], call_bytes))))
-            if path.endswith(".json") and len(known) < remember:
-                known.update(new)
+                split = [t.split() if how == "dropped" else kept_pieces(t.decode()) for t in texts]
+                fresh = known.unknown(set().union(*split))
+                known.add(dict(zip(fresh, map(len, encoded(path, [p.decode() if isinstance(p, bytes) else p for p in fresh], call_bytes)))))
                 counts = [sum(map(known.__getitem__, s)) for s in split]
-            else:
-                counts = [sum([known[p] if p in known else new[p] for p in s]) for s in split]
+                known.trim()
             sizes = [len(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, file: str, spaces: str = "dropped", batch_bytes: int = 2 << 20, call_bytes: int = 64 << 10, remember: int = 400_000) -> DataFrame:
+def count_tokens(docs: DataFrame, file: str, batch_bytes: int = 2 << 20, call_bytes: int = 64 << 10, remember: int = 300_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of docs(doc_id, text); no shuffle.  See the module's docstring."""
-    if spaces not in ("dropped", "kept"):
-        raise ValueError("spaces must be 'dropped' or 'kept'")
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(_count_rows(file, spaces, batch_bytes, call_bytes, remember), f"doc_id {kind}, n_bytes long, n_tokens long")
+    return texts.mapInArrow(_count_rows(file, batch_bytes, call_bytes, remember), f"doc_id {kind}, n_bytes long, n_tokens long")
