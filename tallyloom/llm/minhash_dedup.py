@@ -11,13 +11,16 @@ hold values of a finished step: one or two steps for ordinary texts.
 Banding: `bands` keys of `rows` slots each.  With 28 x 4 a pair at 0.80 meets in no band with probability 4e-7, with
 20 x 4 one at 0.85.
 
-Pairs: not all pairs of a bucket are made.  First each member is compared with its bucket's hub (linear in the
-bucket).  While buckets would make more pairs than they have members, each with members outside the hub's component
-gets one more hub, the member nearest on average to the hubs it met, which is compared with the others and leaves.
-Members not in the hub's component then meet the members of other components in their buckets, if the numbers
-of shingles that occur elsewhere and the exact distances to the hub allow a link at all (the Jaccard distance is a
-metric).  After that no two documents of
-a bucket are unlinked without a comparison or a proof, so components are whole.
+Pairs: not all pairs of a bucket are made.  Each member is compared with its bucket's hub (linear in the bucket), and
+members linked with each other through hubs are done with.  A member that is not in its hub's component is `away`; a
+pair is open if one of its two is away.  Where a bucket has few open pairs a member, they are made.  Else pairs
+are searched by what tells members from their hub: for sets D and D' with hub H, D and D' differ as much as the deltas
+D ^ H and D' ^ H do (^: symmetric difference), so that a link asks for deltas that share a number of shingles, known
+from the sizes, and a shingle among the rarest of each (prefix filter; the length of the prefix uses that an away
+member's delta is too large for a link with H).  Members whose deltas share a prefix shingle form the next, smaller
+bucket, which gets a hub of its own, and so on until no bucket has many away.  What tells copies of one text apart is
+mostly unique, so that the next buckets are few.  Should TURNS not be enough, the pairs left are all made: no two
+documents of a bucket stay unlinked without a comparison or a proof, and components are whole.
 
 Nulls and odd cases: null texts and texts without a word have an empty set, n_shingles 0, and are alone; a null id
 links with nothing, component_id is null and kept true; rows that share an id are one node but each keeps its row; an
@@ -40,8 +43,11 @@ from tallyloom.llm.hashing import MASK, WordHash, grams, mix
 
 _CACHE = WordHash()
 BATCH_BYTES = 4 << 20
-#: How often buckets may get further hubs before the pairs left are made.
-HUB_TURNS = 4
+#: Open pairs are made at once in buckets with so many a member or fewer: in those of bands, and in divided ones, where
+#: the places of the shared shingle settle most pairs before they are made.
+FEW, FEW_DIVIDED = 4, 64
+#: How often buckets may be divided before the pairs left are made.
+TURNS = 8
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,8 +131,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", (1 - F.col("i") / F.col("n")).alias("distance"), (F.lit(100).cast("long") * F.col("i") >= F.lit(percent).cast("long") * F.col("n")).alias("linked"))
 
 
+def _possible(percent: int, n: str, c: str, m: str, d: str) -> str:
+    """Whether sets of n and m shingles, of which c and d occur elsewhere, can be as near as asked for."""
+    return f"100 * least({c}, {d}) >= {percent} * ({n} + {m} - least({c}, {d}))"
+
+
+def _divided(open_: DataFrame, sets: DataFrame, scratch: Scratch, percent: int, turn: int) -> DataFrame:
+    """Buckets of members whose deltas to their hub share a prefix shingle.
+
+    open_(g, rep, n, c, k, away, hub, hub_n) -> (g, rep, n, c, k, away, s, pos, short, many): s shingles in the delta, pos
+    of them before the one shared, short: whether it is in the prefix that open pairs of two away members need, many:
+    whether the bucket has more open pairs than FEW_DIVIDED a member.
+    """
+    p, q = percent, 100 - percent
+    a = sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("doc_id").alias("hub"), F.col("shingles").alias("b"))
+    delta = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
+    rows = open_.join(a, "rep").join(b, "hub").select("g", "rep", "n", "c", "k", "away", "hub_n", delta.alias("delta"))
+    rows = scratch.keep(rows.select("g", "rep", "n", "c", "k", "away", "hub_n", F.size("delta").alias("s"), F.explode("delta").alias("x")), f"delta{turn}")
+    common = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("df"), F.count_if("away").alias("aways")).where("df > 1 and aways > 0").select("g", "x", "df")
+    own = [F.max(c).alias(c) for c in ("n", "c", "k", "away", "hub_n", "s")]
+    shared = rows.join(common, ["g", "x"]).groupBy("g", "rep").agg(*own, F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    # shingles of no other member come first in the order
+    shared = shared.withColumn("alone", F.expr("s - size(xs)"))
+    shared = shared.withColumn("near", F.expr(f"s - (({100 + p} * s + {q} * (hub_n - n)) div {2 * (100 + p)} + 1) + 1 - alone"))
+    shared = shared.withColumn("far", F.expr(f"if(away, greatest(near, s - greatest(1, cast(ceil(({p} * s - {q} * n) / {p}.0) as int)) + 1 - alone), near)"))
+    shared = shared.where("far > 0").withColumn("e", F.expr("explode(transform(slice(xs, 1, cast(far as int)), (e, i) -> struct(e.x as x, alone + i as pos, i < near as short)))"))
+    out = shared.select(F.xxhash64("g", "e.x").alias("g"), "rep", "n", "c", "k", "away", "s", "e.pos", "e.short")
+    out = scratch.keep(out, f"divided{turn}")
+    # those open: of a home and an away member, or of two away ones that are short
+    mine = [F.count_if(~F.col("away")).cast("double").alias("homes"), F.count_if(F.col("away") & F.col("short")).cast("double").alias("shorts"), F.count_if("away").cast("double").alias("aways")]
+    sizes = out.groupBy("g").agg(*mine, F.min("k").alias("lo"), F.max("k").alias("hi")).withColumn("open", F.expr("homes * aways + shorts * (shorts - 1) / 2")).where("open > 0 and lo < hi")
+    return out.join(sizes.select("g", "homes", (F.col("open") > FEW_DIVIDED * F.expr("if(homes > 0, homes + aways, shorts)")).alias("many")), "g").where("short or homes > 0")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int = 28, rows: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text); see the module's docstring."""
+    percent = int(percent)
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be in (0, 100]")
     scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = texts.mapInArrow(_signature_rows(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -142,56 +185,63 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
     sets = scratch.keep(texts.where("doc_id is not null and text is not null").join(wanted, "doc_id").mapInArrow(_set_rows(k), "doc_id long, shingles array<long>"), "sets")
     single = sets.select("doc_id", F.explode("shingles").alias("x")).groupBy("x").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("hi")).where("rep = hi")
     single = single.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    able = slots.join(single, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(f"100 * c >= {int(percent)} * n")
+    able = slots.join(single, "rep", "left").withColumn("c", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(f"100 * c >= {percent} * n")
 
-    # the hub of a bucket: the member of which the largest share occurs elsewhere
+    # the hub of a bucket: the member of which the largest share occurs elsewhere; buckets of the same hub are one
     hubs = able.groupBy("band").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("part"), (-F.col("rep")).alias("less"), F.col("rep"), F.col("n"), F.col("c"))).alias("h"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    hubs = hubs.select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.c").alias("hub_shared"))
-    buckets = scratch.keep(able.join(hubs, "band").where("rep <> hub"), "buckets")
+    hubs = hubs.select("band", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.c").alias("hub_c"))
+    members = able.join(hubs, "band").where("rep <> hub").select(F.col("hub").alias("g"), "rep", "n", "c", "hub", "hub_n", "hub_c").distinct()
+    members = scratch.keep(members, "members0")
     scratch.drop("slots")
 
-    def possible(n: str, c: str, m: str, d: str) -> str:
-        """Whether sets of n and m shingles, of which c and d occur elsewhere, can be as near as asked for."""
-        return f"100 * least({c}, {d}) >= {int(percent)} * ({n} + {m} - least({c}, {d}))"
+    reach = 1 - percent / 100 + 1e-9
+    links, pairs, turn = None, None, 0
 
-    spokes = buckets.where(possible("n", "c", "hub_n", "hub_shared")).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    first = scratch.keep(_verified(spokes, sets, percent), "first")
+    def more(known: DataFrame | None, new: DataFrame) -> DataFrame:
+        return new if known is None else known.unionByName(new)
 
-    # a bucket of which many are not with their hub gets further hubs, the members that were nearest to their hubs
-    links = first.where("linked").select("u", "v")
-    central = first.groupBy(F.col("v").alias("rep")).agg(F.avg("distance").alias("score"))
-    members = buckets.join(first.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "distance"), ["hub", "rep"], "left").select("band", "rep", "n", "c", "hub", "distance")
-    reach = 1 - percent / 100 + 1e-9
-    turn = 0
     while True:
+        spokes = members.where(_possible(percent, "n", "c", "hub_n", "hub_c")).select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+        met = scratch.keep(_verified(spokes, sets, percent), f"met{turn}")
+        links = more(links, met.where("linked").select("u", "v"))
         stars = scratch.keep(components(links, scratch, f"star{turn}_").select(F.col("node").alias("rep"), F.col("component").alias("k")), f"stars{turn}")
-        named = members.join(stars, "rep", "left").withColumn("k", F.coalesce("k", "rep"))
-        named = named.join(stars.select(F.col("rep").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").withColumn("hub_k", F.coalesce("hub_k", "hub"))
-        named = scratch.keep(named.select("band", "rep", "n", "c", "hub", "distance", "k", "hub_k"), f"named{turn}")
-        sizes = named.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("k") != F.col("hub_k")).alias("away"))
-        total = sizes.agg(F.sum(F.col("size").cast("double") * F.col("away")).alias("pairs"), F.sum("size").alias("rows")).first()
-        if turn == HUB_TURNS or not total["rows"] or total["pairs"] <= total["rows"]:
+        named = members.join(met.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "distance"), ["hub", "rep"], "left").join(stars, "rep", "left").withColumn("k", F.coalesce("k", "rep"))
+        named = named.join(stars.select(F.col("rep").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").withColumn("away", F.col("k") != F.coalesce("hub_k", "hub"))
+        named = scratch.keep(named.select("g", "rep", "n", "c", "hub", "hub_n", "distance", "k", "away"), f"named{turn}")
+        sizes = scratch.keep(named.groupBy("g").agg(F.count_if("away").alias("aways"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("aways > 0 and lo < hi").select("g", (F.col("aways") > (FEW if turn < TURNS else 2**62)).alias("many")), f"sizes{turn}")
+        kinds = {r["many"] for r in sizes.select("many").distinct().collect()}  # two rows
+        if False in kinds:
+            few = named.join(sizes.where("not many").select("g"), "g")
+            one = few.where("away").select("g", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("k").alias("vk"), F.col("distance").alias("vd"))
+            two = few.select("g", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("c").alias("uc"), F.col("k").alias("uk"), F.col("away").alias("ua"), F.col("distance").alias("ud"))
+            # the Jaccard distance is a metric
+            rest = two.join(one, "g").where(f"uk <> vk and (not ua or u < v) and {_possible(percent, 'un', 'uc', 'vn', 'vc')} and (ud is null or vd is null or abs(ud - vd) <= {reach!r})")
+            pairs = more(pairs, scratch.keep(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs{turn}"))
+        if True not in kinds:
             break
+        buckets = _divided(named.join(sizes.where("many").select("g"), "g").drop("distance"), sets, scratch, percent, turn)
+        buckets = scratch.keep(buckets, f"buckets{turn}")
+        # deltas of s and t shingles must share this many, of which those before the shared one are none
+        need = f"(us + vs - {100 - percent} * (un + vn) / {100.0 + percent!r}) / 2 - 1e-9"
+        small = buckets.where("not many")
+        one = small.where("away").select("g", *[F.col(c).alias("v" + c) for c in ("rep", "n", "c", "k", "s", "pos", "short")])
+        two = small.select("g", *[F.col(c).alias("u" + c) for c in ("rep", "n", "c", "k", "s", "pos", "short", "away")])
+        rest = two.join(one, "g").where(f"uk <> vk and (if(uaway, urep < vrep and vshort, true) and ushort) and {_possible(percent, 'un', 'uc', 'vn', 'vc')} and {need} <= least(us - upos, vs - vpos)")
+        pairs = more(pairs, scratch.keep(rest.select(F.least("urep", "vrep").alias("u"), F.greatest("urep", "vrep").alias("v")).distinct(), f"small{turn}"))
+        large = buckets.where("many")
+        hubs = large.groupBy("g").agg(F.min(F.struct("s", "rep", "n", "c")).alias("h")).select("g", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.c").alias("hub_c"))
         turn += 1
-        nearest = F.min(F.struct(F.coalesce("score", F.lit(2.0)).alias("score"), F.col("rep"), F.col("n"), F.col("c"), F.col("k"), F.col("distance"))).alias("h")
-        more = named.join(central, "rep", "left").groupBy("band").agg(nearest, F.count_if(F.col("k") != F.col("hub_k")).alias("away")).where("away > 0")
-        more = scratch.keep(more.select("band", F.col("h.rep").alias("hub2"), F.col("h.n").alias("n2"), F.col("h.c").alias("c2"), F.col("h.k").alias("k2"), F.col("h.distance").alias("d2")), f"hubs{turn}")
-        met = named.join(more, "band").where(f"rep <> hub2 and k <> k2 and {possible('n', 'c', 'n2', 'c2')} and (distance is null or d2 is null or abs(distance - d2) <= {reach!r})")
-        found = _verified(met.select(F.col("hub2").alias("u"), F.col("rep").alias("v")).distinct(), sets, percent).where("linked").select("u", "v")
-        links = scratch.keep(links.unionByName(found), f"links{turn}")
-        members = named.join(more.select("band", "hub2"), "band", "left").where("hub2 is null or rep <> hub2").select("band", "rep", "n", "c", "hub", "distance")
-
-    # those that are not with their hub even so meet the others of their buckets
-    away = named.where("k <> hub_k").select("band", F.col("rep").alias("v"), F.col("n").alias("vn"), F.col("c").alias("vc"), F.col("k").alias("vk"), F.col("distance").alias("vd"))
-    other = named.select("band", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("c").alias("uc"), F.col("k").alias("uk"), "hub_k", F.col("distance").alias("ud"))
-    rest = other.join(away, "band").where(f"uk <> vk and (uk = hub_k or u < v) and {possible('un', 'uc', 'vn', 'vc')} and (ud is null or vd is null or abs(ud - vd) <= {reach!r})")
-    rest = scratch.keep(rest.select("u", "v").distinct(), "rest")
-    second = _verified(rest, sets, percent).where("linked").select("u", "v")
-    links = scratch.keep(links.unionByName(second), "links")
-    for name in ("sets", "buckets", f"named{turn}", "rest"):
+        members = scratch.keep(large.join(hubs, "g").where("rep <> hub").select("g", "rep", "n", "c", "hub", "hub_n", "hub_c").distinct(), f"members{turn}")
+        if members.isEmpty():
+            break
+    final = stars
+    if pairs is not None:
+        found = scratch.keep(_verified(pairs.distinct(), sets, percent).where("linked").select("u", "v"), "found")
+        if not found.isEmpty():
+            final = components(more(links, found), scratch, "whole").select(F.col("node").alias("rep"), F.col("component").alias("k"))
+    named = scratch.keep(classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("k", "rep").alias("component")), "final")
+    for name in ("sets", *(f"{n}{t}" for t in range(turn + 1) for n in ("members", "named", "met", "delta", "divided", "buckets", "pairs", "small"))):
         scratch.drop(name)
-    final = components(links, scratch, "whole").select(F.col("node").alias("rep"), "component")
-    named = scratch.keep(classes.select("set_key", "rep").join(final, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "final")
     out = signed.join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

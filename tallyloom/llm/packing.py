@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, by_bytes
-from tallyloom.llm.token_counts import _STATE, Remembered, encoded, kept_pieces, local_file, splitting
+from tallyloom.llm.token_counts import _STATE, Remembered, encoded, local_file, split, splitting
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, task long, window int, ids binary"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -132,20 +132,25 @@ def _pack_rows(file: str, end: int, size: int, open_windows: int, cut: int, batc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = local_file(file)
-        how = splitting(path)
+        special = splitting(path)
         known: Remembered = _STATE.setdefault(f"ids {path}", Remembered(remember))
         task = TaskContext.get().partitionId()
         packer = Packer(size, open_windows, task << 32, cut)
         for batch in by_bytes(batches, "text", batch_bytes):
-            texts = [(t or b"").decode() for t in batch.column("text").to_pylist()]
-            if how == "whole":
-                made = [ids.tobytes() + stop for ids in encoded(path, texts, 64 << 10)]
+            if special is None:
+                made = [ids.tobytes() + stop for ids in encoded(path, [(t or b"").decode() for t in batch.column("text").to_pylist()], 64 << 10)]
             else:
-                split = [kept_pieces(t) if how == "kept" else t.encode().split() for t in texts]
-                fresh = known.unknown(set().union(*split))
-                known.add(dict(zip(fresh, [ids.tobytes() for ids in encoded(path, [p if how == "kept" else p.decode() for p in fresh], 64 << 10)])))
-                made = [b"".join(map(known.__getitem__, s)) + stop for s in split]
+                codes, distinct, first = split(batch.column("text"), special)
+                fresh = known.unknown(distinct)
+                known.add(dict(zip(fresh, [ids.tobytes() for ids in encoded(path, [p.decode() for p in fresh], 64 << 10)])))
+                own = [known[p] for p in distinct]
                 known.trim()
+                # the ids of all pieces in order, taken from those of the distinct ones
+                flat, n = np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+                end_of = np.cumsum(n[codes])
+                place = np.repeat((np.cumsum(n) - n)[codes] - (end_of - n[codes]), n[codes]) + np.arange(end_of[-1] if len(end_of) else 0)
+                ids, at = flat[place].tobytes(), (4 * np.append(0, end_of)[first]).tolist()
+                made = [ids[a:b] + stop for a, b in zip(at, at[1:])]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), made):
                 packer.add(doc_id, 0, len(ids) // 4, ids)
             if len(packer.out) > 5000:
@@ -182,7 +187,7 @@ def _merge_rows(size: int, open_windows: int, cut: int, turn: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, file: str, end: int = 0, size: int = 1024, open_windows: int = 64, cut: int = 1, fan_in: int = 64, batch_bytes: int = 2 << 20, remember: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, file: str, end: int = 0, size: int = 1024, open_windows: int = 64, cut: int = 1, fan_in: int = 64, batch_bytes: int = 8 << 20, remember: int = 200_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of docs(doc_id, text).
 
     cut: the fewest tokens of room that a document is cut for when it fits no open window; 0: never, such windows are

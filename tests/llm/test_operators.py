@@ -80,16 +80,22 @@ def test_minhash(docs, texts, none, percent):
         assert minhash_dedup.near_duplicates(none).count() == 0
 
 
-def test_minhash_further_hubs(spark):
-    """Copies that are near to a base, few of them near to each other."""
+@pytest.mark.parametrize("few", [None, 0])
+def test_minhash_divided_buckets(spark, monkeypatch, few):
+    """Copies that are near to a base, few of them near to each other; few = 0: buckets are divided whatever their size."""
+    if few is not None:
+        monkeypatch.setattr(minhash_dedup, "FEW", few)
+        monkeypatch.setattr(minhash_dedup, "FEW_DIVIDED", few)
+        monkeypatch.setattr(minhash_dedup, "TURNS", 2)
     r = random.Random(1)
     base, rows = [f"w{i}" for i in range(200)], []
     for i in range(120):
         w = list(base)
         for _ in range(r.choice([0, 2, 4, 5])):
-            w[r.randrange(200)] = f"x{r.random()}"
+            at = r.randrange(200)
+            w[at : at + r.choice([0, 1, 1])] = [] if r.random() < 0.2 else [f"x{r.randrange(40)}"]
         rows.append((i, " ".join(w)))
-    sets = [{tuple(t.split()[p : p + 5]) for p in range(196)} for _, t in rows]
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for _, t in rows]
     want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])])
     got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, bands=20).collect()}
     assert [got[i] for i in range(len(rows))] == want
