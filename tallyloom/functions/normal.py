@@ -78,6 +78,17 @@ def binomial_pmf(x: Column, n: int, p: float) -> Column:
     return F.when(x.between(0, n), value).otherwise(F.lit(0.0))
 
 
+def hypergeometric_pmf(x: Column, draws: int, hits: int, size: int) -> Column:
+    """Of x hits in so many draws without replacement from a population of `size` with `hits` of them."""
+    logs = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(size + 1)])
+    at = lambda c: F.element_at(logs, c.cast("int") + 1)
+    low, high = max(0, draws + hits - size), min(draws, hits)
+    k = F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    choose = lambda n, c: math.lgamma(n + 1) - at(c) - at(n - c)
+    whole = math.lgamma(size + 1) - math.lgamma(draws + 1) - math.lgamma(size - draws + 1)
+    return F.when(x.between(low, high), F.exp(choose(hits, k) + choose(size - hits, draws - k) - whole)).otherwise(F.lit(0.0))
+
+
 def poisson_pmf(x: Column, mean: float) -> Column:
     """For x up to 20."""
     return F.exp(F.lit(-mean)) * F.pow(F.lit(mean), x) / F.factorial(x.cast("int"))

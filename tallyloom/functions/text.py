@@ -58,16 +58,14 @@ def shortened(c: Column, most: int = 200, keep: int = 197) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, keep), F.lit("..."))).otherwise(c)
 
 
-def term_pattern(aliases: str) -> str:
-    """A pattern of a term's aliases (separated by |): longest first, spaces and hyphens alike, whole words, any case."""
-    seen: dict[str, str] = {}
-    for a in aliases.split("|"):
-        a = " ".join(a.split())
-        if a:
-            seen.setdefault(a.lower(), a)
-    parts = sorted(seen.values(), key=lambda a: (-len(a), a.lower()))
-    body = "|".join("[- ]+".join(re.escape(w) for w in re.split("[- ]+", a)) for a in parts)
-    return rf"(?i)\b(?:{body})\b"
+def term_pattern(term: str, aliases: str | None = None) -> str:
+    """A pattern of a term and its aliases (separated by |): longest first, spaces and hyphens alike, any case; neither
+    a letter nor a digit stands before or after, so that a term may end in a punctuation mark."""
+    seen: dict[str, None] = {}
+    for a in (term, *(aliases or "").split("|")):
+        if a.strip():
+            seen.setdefault("[- ]+".join(re.escape(w) for w in re.split("[- ]+", a.strip().lower())))
+    return f"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(sorted(seen, key=lambda p: (-len(p), p)))})(?![A-Za-z0-9_])"
 
 
 def page_url(path: Column) -> Column:

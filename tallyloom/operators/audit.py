@@ -55,8 +55,13 @@ def day_directory(path: Column) -> Column:
 
 def anchors(lines: DataFrame) -> DataFrame:
     """(day_dir, page, files, n): distinct files that define a page's anchor, joined by " | "."""
-    found = extract_matches(lines, ANCHOR, ["page"]).select(day_directory(F.col("source_file")).alias("day_dir"), F.col("page").cast("int").alias("page"), "source_file").distinct()
-    return found.groupBy("day_dir", "page").agg(F.array_join(F.sort_array(F.collect_set("source_file")), " | ").alias("files"), F.count(F.lit(1)).alias("n"))
+    found = extract_matches(lines, ANCHOR, ["page"]).select(day_directory(F.col("source_file")).alias("day_dir"), F.col("page").cast("int").alias("page"), "source_file")
+    return grouped(found, ["day_dir", "page"])
+
+
+def grouped(defined: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., files, n): the distinct source_file of a key, sorted and joined by " | ", and how many they are."""
+    return defined.select(*keys, "source_file").distinct().groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("source_file")), " | ").alias("files"), F.count("source_file").alias("n"))
 
 
 def concrete_references(lines: DataFrame, known: DataFrame) -> DataFrame:

@@ -25,13 +25,15 @@ def minutes(words: Column) -> Column:
     return F.when(words >= FEWEST, F.greatest(F.ceil(words / WORDS_A_MINUTE), F.lit(1)).cast("long"))
 
 
-def pace_label(minutes: Column, session: Column, track: Column, active: Column) -> Column:
-    """"N min", with the session's (and a second track's) time where they differ by more than one, else with
-    "+ activities" where a page has some."""
-    base = F.concat(minutes.cast("string"), F.lit(" min"))
-    differ = F.abs(session - minutes) > 1
-    third = F.when(F.abs(track - minutes) > 1, F.concat(F.lit(" / "), track.cast("string"), F.lit(" min"))).otherwise(F.lit(""))
-    return F.when(differ, F.concat(base, F.lit(" / "), session.cast("string"), F.lit(" min"), F.coalesce(third, F.lit("")))).when(active, F.concat(base, F.lit(" + activities"))).otherwise(base)
+def pace_label(minutes: Column, session: Column, track: Column, active: Column, pace: str = "the course&rsquo;s", other: str = "the second track") -> Column:
+    """"~ N min reading", with the session's time where the two differ by more than one (then with a second track's
+    where that differs from the session's by more than one); "+ activities" only where no session time is known, since
+    that holds them."""
+    n = lambda c: c.cast("string")
+    base = F.concat(F.lit("~ "), n(minutes), F.lit(" min reading"))
+    second = F.concat(F.lit(" &middot; ~ "), n(session), F.lit(f" min at {pace} pace"))
+    third = F.when(F.abs(track - session) > 1, F.concat(F.lit(" (~ "), n(track), F.lit(f" min on {other})"))).otherwise(F.lit(""))
+    return F.when(F.abs(session - minutes) > 1, F.concat(base, second, F.coalesce(third, F.lit("")))).when(session.isNull() & active, F.concat(base, F.lit(" + activities"))).otherwise(base)
 
 
 def has_activity(raw: Column) -> Column:
@@ -55,42 +57,52 @@ def line_flags(c: Column) -> dict[str, Column]:
     }
 
 
+# Words that tell a content type.
+CONTENT_WORDS = {"activity": ("activity", "exercise"), "introduction": ("introduction", "overview"), "conclusion": ("conclusion", "summary")}
+
+
 def content_type(c: Column) -> Column:
-    """The first that fits: activity, introduction, conclusion, narrative."""
-    return F.when(c.rlike(r"(?i)\b(activity|exercise)\b"), F.lit("activity")).when(c.rlike(r"(?i)\b(introduction|overview|welcome)\b"), F.lit("introduction")).when(c.rlike(r"(?i)\b(conclusion|summary|finally)\b"), F.lit("conclusion")).otherwise(F.lit("narrative"))
+    """The first that fits: activity, introduction, conclusion, narrative; a word counts wherever its letters stand."""
+    has = lambda *w: F.lower(c).rlike("|".join(w))
+    return F.when(has(*CONTENT_WORDS["activity"]), F.lit("activity")).when(has(*CONTENT_WORDS["introduction"]), F.lit("introduction")).when(has(*CONTENT_WORDS["conclusion"]), F.lit("conclusion")).otherwise(F.lit("narrative"))
 
 
 def checks(c: Column) -> dict[str, Column]:
-    """One flag for each rule of a text check."""
+    """One flag for each rule of a text check.  Lengths are of the text without front matter, code and tags."""
+    matter = F.when(c.startswith("---") & (F.instr(F.substring(c, 4, 2**31 - 1), "---") > 0), F.substring_index(F.substring(c, 4, 2**31 - 1), "---", 1))
+    plain = c
+    for pattern in (r"(?s)\A---.*?---", r"(?s)```.*?```", r"<[^>]+>"):
+        plain = F.regexp_replace(plain, pattern, "")
+    length = F.length(F.regexp_replace(plain, r"\A\s+|\s+\z", ""))
     return {
-        "no_title": ~c.rlike(r"(?m)^(title:|# )"),
-        "very_short": F.length(c) < 100,
-        "short": F.length(c) < 300,
-        "artefacts": c.rlike(r"[|¦]{2,}|�|[~^]{3,}"),
-        "broken_words": c.rlike(r"[A-Za-z]-\n[a-z]"),
-        "blank_runs": c.rlike(r"\n[ \t]*\n[ \t]*\n[ \t]*\n[ \t]*\n"),
-        "image_without_alt": c.rlike(r"!\[\s*\]\("),
+        "no_title": ~F.coalesce(F.contains(matter, F.lit("title:")), F.lit(False)),
+        "very_short": length < 100,
+        "short": (length >= 100) & (length < 300),
+        "artefacts": c.rlike(r"\|\s+|\]\s+|\[A\]|\[B\]"),
+        "broken_words": c.rlike(r"\w+-\s*\n\s*\w+"),
+        "blank_runs": F.regexp_count(c, F.lit(r"\n\s*\n\s*\n")) > 3,
+        "image_without_alt": c.rlike(r"!\[\]\([^)]+\)"),
     }
 
 
 def repaired(c: Column) -> Column:
     """Stray bars and brackets as I, hyphen-broken words joined, broken lines joined."""
-    for pattern, by in ((r"(^|\s)[|\]\[](\s)", "$1I$2"), (r"([A-Za-z])-\n([a-z])", "$1$2"), (r"([a-z,;])\n([a-z])", "$1 $2")):
+    for pattern, by in ((r"[|]\s+", "I "), (r"\]\s+", "I "), (r"(\w+)-\s*\n\s*(\w+)", "$1$2"), (r"(\w+)\s*\n\s*(\w+)", "$1 $2")):
         c = F.regexp_replace(c, pattern, by)
     return c
 
 
 def paragraphs(df: DataFrame, keys: list[str], text: str = "text", shortest: int = 40, letters: float = 0.4) -> DataFrame:
-    """(keys..., paragraph, text): lines between blank ones, joined; at least `shortest` characters long and `letters`
-    of them letters."""
+    """(keys..., paragraph, text): lines between blank ones, joined; at least `shortest` characters long, and `letters` of
+    those that are not spaces letters."""
     joined = F.transform(F.split(F.col(text), r"\n(?:[ \t]*\n)+"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     out = df.select(*keys, F.posexplode(joined).alias("_i", "_p")).select(*keys, (F.col("_i") + 1).cast("long").alias("paragraph"), F.col("_p").alias("text"))
-    return out.where((F.length("text") >= shortest) & (F.length(F.regexp_replace("text", "[^A-Za-z]", "")) >= letters * F.length("text")))
+    return out.where((F.length("text") >= shortest) & (F.length(F.regexp_replace("text", "[^A-Za-z]", "")) >= letters * F.length(F.replace("text", F.lit(" "))))).where(F.regexp_like("text", F.lit("[^ ]")))
 
 
 def fingerprint(c: Column, words: int = 8) -> Column:
-    """The first eight lower-cased words of more than two letters."""
-    spelled = F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
+    """The first eight lower-cased words (letters and digits) of more than two characters."""
+    spelled = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
     return F.slice(F.filter(spelled, lambda w: F.length(w) > 2), 1, words)
 
 
@@ -102,9 +114,9 @@ def runs_of(words: Column, n: int = 5) -> Column:
 
 def covered(fingerprints: DataFrame, corpus: DataFrame, n: int = 5) -> DataFrame:
     """fingerprints(id, words) with found: whether one of their n-word runs occurs among the words of more than two
-    letters of a corpus(text) document, in order and side by side.  Both sides are cut to runs and met by equality;
+    characters of a corpus(text) document, in order and side by side.  Both sides are cut to runs and met by equality;
     fingerprints shorter than n meet runs of their own length."""
-    spelled = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 2)
+    spelled = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.length(w) > 2)
     asked = fingerprints.where("size(words) > 0").select("id", F.explode(runs_of(F.col("words"), n)).alias("run")).withColumn("n", F.size(F.split("run", " ")))
     lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most n of them
     held = None
@@ -124,11 +136,15 @@ def coverage(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def structure(actual: DataFrame, expected: DataFrame, fields: list[str]) -> DataFrame:
-    """(file, total, passed, failed): of a manifest's expectations a file, by full join; arrays compare as sets."""
-    met = actual.select("file", *[F.col(f).alias(f"a_{f}") for f in fields]).join(expected.select("file", *[F.col(f).alias(f"e_{f}") for f in fields]), "file", "full")
+    """(file, total, passed, failed): of a manifest's expectations a file, by full join.  Arrays have to hold the same
+    texts in the same order, but for runs of spaces and typographic quotes."""
+    met = actual.select("file", F.lit(True).alias("_a"), *[F.col(f).alias(f"a_{f}") for f in fields]).join(expected.select("file", F.lit(True).alias("_e"), *[F.col(f).alias(f"e_{f}") for f in fields]), "file", "full")
     kinds = dict(expected.dtypes)
-    same = lambda f: F.size(F.array_except(f"e_{f}", f"a_{f}")) == 0 if kinds[f].startswith("array") else F.col(f"e_{f}").eqNullSafe(F.col(f"a_{f}"))
-    flags = [F.coalesce(same(f), F.lit(False)).cast("int") for f in fields]
+    plain = lambda s: F.translate(F.trim(F.regexp_replace(s, " +", " ")), "\u2018\u2019\u201c\u201d", "''\"\"")
+    value = lambda c, f: F.transform(c, plain) if kinds[f] == "array<string>" else F.col(c)
+    same = lambda f: value(f"e_{f}", f).eqNullSafe(value(f"a_{f}", f))
+    both = F.col("_a") & F.col("_e")
+    flags = [F.coalesce(both & same(f), F.lit(False)).cast("int") for f in fields]
     return met.select("file", F.lit(len(fields)).alias("total"), sum(flags[1:], flags[0]).alias("passed")).withColumn("failed", F.col("total") - F.col("passed"))
 
 

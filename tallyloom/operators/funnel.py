@@ -88,7 +88,21 @@ def blocks(staged: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return named.groupBy(*keys, "block", "row").pivot("place", list(range(1, 15))).agg(F.first("shown"))
 
 
-def dice(spark, seed: int = 0, rolls: int = 40, fixed: tuple[int, ...] = (10, 8, 6, 7, 4)) -> DataFrame:
+# Two recorded sequences of dice, stages 6 to 40; stages 1 to 5 have the scores 10 8 6 7 4 in both.
+FIRST_SCORES = (10, 8, 6, 7, 4)
+RECORDED = {
+    "A": "64 24 45 45 13 56 63 35 64 35 22 52 42 24 66 46 53 43 25 63 56 63 51 61 21 22 36 53 66 53 46 65 34 36 56",
+    "B": "35 36 44 13 11 41 53 16 45 12 54 14 61 12 13 54 65 61 43 66 15 63 44 52 44 14 61 32 55 56 62 13 46 63 31",
+}
+
+
+def recorded(spark) -> DataFrame:
+    """(seq, t, score, e) of the recorded sequences, 40 stages each."""
+    rows = [(seq, t, s, s - 7) for seq, pairs in RECORDED.items() for t, s in enumerate([*FIRST_SCORES, *(int(p[0]) + int(p[1]) for p in pairs.split())], 1)]
+    return spark.createDataFrame(rows, "seq string, t long, score int, e int")
+
+
+def dice(spark, seed: int = 0, rolls: int = 40, fixed: tuple[int, ...] = FIRST_SCORES) -> DataFrame:
     """(t, die1, die2): seeded rolls of two dice after a fixed beginning, which is split as evenly as dice allow."""
     roll = lambda k: (F.rand(seed + k) * 6).cast("int") + 1
     df = spark.range(rolls).select((F.col("id") + 1).alias("t"), roll(1).alias("a"), roll(2).alias("b"))

@@ -19,7 +19,7 @@ ACTIVE_MS, DAYS, ACTS, DISMISSALS, COOLDOWN_DAYS = 30 * 60_000, 2, 1, 2, 45
 
 def active_time(events: DataFrame, keys: list[str], ts: str, order: list[str], cap_ms: int = TICK_CAP_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """(keys..., active_ms): time between ticks, capped, none over idle gaps."""
-    ticks = capped_gaps(events, keys, order, F.unix_millis(F.col(ts)), cap_ms, idle_ms)
+    ticks = capped_gaps(events, keys, order, F.unix_millis(F.col(ts).cast("timestamp")), cap_ms, idle_ms)
     return ticks.groupBy(*keys).agg(F.sum("active_ms").alias("active_ms"))
 
 
@@ -29,6 +29,35 @@ def visits(events: DataFrame, user: str, ts: str, act: Column) -> DataFrame:
     return events.groupBy(user).agg(F.min(ts).alias("first_seen"), F.count_distinct(day).alias("n_days"), F.max(day).alias("last_day"), F.sum(act.cast("long")).alias("acts"))
 
 
+def state(events: DataFrame, user: str, device: str, ts: str, day: Column, chapter: Column, act: Column) -> DataFrame:
+    """(user, device, first_seen, days, chapters, max_day, acts): what visits and acts add up to on a device.  days are
+    the dates of visits, chapters the keys D.C of pages with a day and a chapter, both sorted; max_day is 0 without a
+    page of a day."""
+    key = F.when(day.isNotNull() & chapter.isNotNull(), F.concat_ws(".", day.cast("string"), chapter.cast("string")))
+    date = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd")
+    return events.groupBy(user, device).agg(
+        F.min(date).alias("first_seen"), F.sort_array(F.collect_set(date)).alias("days"), F.sort_array(F.collect_set(key)).alias("chapters"), F.coalesce(F.max(day), F.lit(0)).alias("max_day"), F.count_if(act).alias("acts")
+    )
+
+
+def joined_states(states: DataFrame, user: str) -> DataFrame:
+    """(user, first_seen, n_days, n_chapters, max_day, acts): the devices' states of a user as one."""
+    sets = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    return states.groupBy(user).agg(F.min("first_seen").alias("first_seen"), sets("days").alias("n_days"), sets("chapters").alias("n_chapters"), F.max("max_day").alias("max_day"), F.sum("acts").alias("acts"))
+
+
+# What a page's own events are called.
+PAGE_EVENTS = {"notes": "notes-downloaded", "funnel": "funnel-run", "ratings": "rating-table-used", "commentary": "commentary-revealed"}
+
+
+def page_events(events: DataFrame, path: str, kind: str) -> DataFrame:
+    """events of the known kinds with name, day and chapter of their page; all of these count as acts (G7)."""
+    name = F.lit(None).cast("string")
+    for k, n in PAGE_EVENTS.items():
+        name = F.when(F.col(kind) == k, F.lit(n)).otherwise(name)
+    return events.withColumn("name", name).where("name is not null").withColumns(page_context(F.col(path)))
+
+
 def merged(counters: DataFrame, user: str, device: str, values: list[str]) -> DataFrame:
     """(user, values...): the largest counter of each device, added up over devices."""
     per = counters.groupBy(user, device).agg(*[F.max(v).alias(v) for v in values])
@@ -86,7 +115,7 @@ def rated(events: DataFrame, user: str, chapter: str, rating: str, order: list[s
 def should_prompt(active_ms: Column, days: Column, acts: Column, state: Column, dismissals: Column, days_since: Column, active_min: int = ACTIVE_MS) -> Column:
     """Whether to ask: never asked, or dismissed less than twice and 45 days ago or more; and 30 minutes of activity on
     two days with an act."""
-    eligible = state.isNull() | ((state == "dismissed") & (dismissals < DISMISSALS) & (days_since >= COOLDOWN_DAYS))
+    eligible = state.isNull() | (state == "none") | ((state == "dismissed") & (dismissals < DISMISSALS) & (days_since >= COOLDOWN_DAYS))
     return F.coalesce(eligible & (active_ms >= active_min) & (days >= DAYS) & (acts >= ACTS), F.lit(False))
 
 

@@ -87,6 +87,11 @@ def range_sigma(groups: DataFrame, of: str = "range", n: str = "n") -> DataFrame
     return groups.withColumn("sigma", F.col(of) / constant(n, "h"))
 
 
+def fixed(points: DataFrame, keys: list[str], lcl: float, ucl: float, value: str = "value") -> DataFrame:
+    """(keys..., central, lcl, ucl): limits that are given, as of the red-bead chart (1.4 and 18.2); central is the mean."""
+    return points.groupBy(*keys).agg(F.avg(value).alias("central")).withColumns({"lcl": F.lit(float(lcl)), "ucl": F.lit(float(ucl))})
+
+
 def signals(points: DataFrame, limits: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """points with central, lcl, ucl and signal: strictly outside the limits.  Limits have one row a chart."""
     met = points.join(limits.select(*keys, "central", "lcl", "ucl"), keys) if keys else points.crossJoin(F.broadcast(limits.select("central", "lcl", "ucl")))

@@ -79,13 +79,15 @@ def script_segments(text: str) -> list[tuple[str, int, int]]:
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """files(path, text) -> segments in order; .qmd and .md as pages, others as scripts."""
+    """files(path, text) -> segments in order; .qmd and .md as pages, others as scripts; a null text has none."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, text in zip(pdf.path, pdf.text):
+                if not isinstance(text, str):
+                    continue
                 found = page_segments(text) if path.endswith((".qmd", ".md")) else script_segments(text)
                 for n, (kind, s, e) in enumerate(found):
                     key = xxhash.xxh64_hexdigest(f"{path}|{kind}|{n}|{text[s:e]}")[:10]
@@ -103,6 +105,9 @@ def reinject(files: DataFrame, segments: DataFrame) -> DataFrame:
         for pdf in batches:
             texts = []
             for text, parts in zip(pdf.text, pdf.parts):
+                if not isinstance(text, str):
+                    texts.append(None)
+                    continue
                 for p in sorted(parts if parts is not None else [], key=lambda p: -p["start"]):
                     text = text[: p["start"]] + p["text"] + text[p["end"] :]
                 texts.append(text)

@@ -100,14 +100,18 @@ def shares(df: DataFrame, keys: list[str], outcome: str) -> DataFrame:
     return s.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*keys)))
 
 
-def baseline_study(spark: SparkSession, baselines: list[int], charts: int, after: int, seed: int) -> DataFrame:
-    """(baseline, charts, inside, outside): by baseline length, the share of charts of normal values with a false
-    alarm in the baseline, and of points after the baseline of charts without one that lie outside (C15)."""
+def baseline_study(spark: SparkSession, baselines: list[int], charts: int, after: int, seed: int, shifts: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(baseline, charts, inside, outside, arl_1, ...): by baseline length, the share of charts of normal values with a false
+    alarm in the baseline, and of points after the baseline of charts without one that lie outside; the average run
+    length of the latter charts after a shift by so many sigmas, from the chance that a point lies outside (C15)."""
     length = F.explode(F.array(*[F.lit(b) for b in baselines])).alias("baseline")
     point = spark.range(charts).select("id", length).select("id", "baseline", F.explode(F.sequence(F.lit(1), F.col("baseline") + after)).alias("t"))
     drawn = point.withColumn("value", F.randn(seed))
     ranged = drawn.withColumn("mr", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("id", "baseline").orderBy("t"))))
     first = ranged.groupBy("id", "baseline").agg(F.avg(F.when(F.col("t") <= F.col("baseline"), F.col("value"))).alias("c"), F.avg(F.when(F.col("t") <= F.col("baseline"), F.col("mr"))).alias("r"))
     judged = ranged.join(first, ["id", "baseline"]).withColumn("out", (F.abs(F.col("value") - F.col("c")) > limits.XMR * F.col("r")).cast("int"))
-    each = judged.groupBy("id", "baseline").agg(F.max(F.when(F.col("t") <= F.col("baseline"), F.col("out"))).alias("inside"), F.sum(F.when(F.col("t") > F.col("baseline"), F.col("out"))).alias("later"))
-    return each.groupBy("baseline").agg(F.count(F.lit(1)).alias("charts"), F.avg("inside").alias("inside"), (F.sum(F.when(F.col("inside") == 0, F.col("later"))) / (F.count_if(F.col("inside") == 0) * after)).alias("outside"))
+    each = judged.groupBy("id", "baseline").agg(F.max(F.when(F.col("t") <= F.col("baseline"), F.col("out"))).alias("inside"), F.first("c").alias("c"), F.first("r").alias("r"), F.sum(F.when(F.col("t") > F.col("baseline"), F.col("out"))).alias("later"))
+    reach = limits.XMR * F.col("r")
+    chance = lambda s: 1 - normal.cdf(F.col("c") + reach - s) + normal.cdf(F.col("c") - reach - s)
+    runs = [(1 / F.avg(F.when(F.col("inside") == 0, chance(s)))).alias(f"arl_{s}") for s in shifts]
+    return each.groupBy("baseline").agg(F.count(F.lit(1)).alias("charts"), F.avg("inside").alias("inside"), (F.sum(F.when(F.col("inside") == 0, F.col("later"))) / (F.count_if(F.col("inside") == 0) * after)).alias("outside"), *runs)

@@ -10,6 +10,10 @@ CYCLE = ("+", "++", "+++", "0", "-", "--", "---")
 WORTH = {"+++": 3, "++": 2, "+": 1, "0": 0, "-": -1, "--": -2, "---": -3}
 
 
+#: A two-way table with a cell for each row and column has at most so many columns; its rows are not limited.
+MOST_COLUMNS = 10_000
+
+
 def strict_sum(c: Column | str) -> Column:
     """A sum that is null unless every addend is there."""
     c = F.col(c) if isinstance(c, str) else c
@@ -20,8 +24,11 @@ def with_totals(cells: DataFrame, row: str, column: str, value: str, complete: b
     """(row, column, value) with totals: a null row is the total of a column, a null column that of a row, both null
     the grand total.  complete: a cell that is not there counts as missing and voids its totals."""
     if complete:
-        rows, columns = cells.select(row).distinct(), cells.select(column).distinct()
-        grid = rows.withColumn("_k", F.lit(1)).join(columns.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        columns = [r[0] for r in cells.select(column).distinct().where(F.col(column).isNotNull()).limit(MOST_COLUMNS + 1).collect()]
+        if len(columns) > MOST_COLUMNS:
+            raise ValueError(f"a table of more than {MOST_COLUMNS} columns")
+        kind = cells.schema[column].dataType
+        grid = cells.select(row).distinct().select(row, F.explode(F.array(*[F.lit(c).cast(kind) for c in columns]) if columns else F.array().cast(f"array<{kind.simpleString()}>")).alias(column))
         cells = grid.join(cells, [row, column], "left")
     summed = cells.groupBy(row, column).agg(strict_sum(value).alias(value))
     return summed.cube(row, column).agg(strict_sum(value).alias(value))
@@ -49,8 +56,8 @@ def worth(rating: Column) -> Column:
 
 
 def shown(net: Column) -> Column:
-    """A net as repeated signs, 0 as 0."""
-    return F.when(net > 0, F.repeat(F.lit("+"), net.cast("int"))).when(net < 0, F.repeat(F.lit("-"), (-net).cast("int"))).otherwise(F.lit("0"))
+    """A net as repeated signs, 0 as 0; the sign of a negative net is U+2212."""
+    return F.when(net > 0, F.repeat(F.lit("+"), net.cast("int"))).when(net < 0, F.repeat(F.lit("\u2212"), (-net).cast("int"))).otherwise(F.lit("0"))
 
 
 def net_effects(ratings: DataFrame) -> DataFrame:
@@ -62,8 +69,23 @@ def net_effects(ratings: DataFrame) -> DataFrame:
 
 
 def own_hidden(ratings: DataFrame) -> DataFrame:
-    """The first table: ratings of other areas' options only; the own area's are what a row's area sees of itself."""
-    return ratings.where(F.col("area") == F.col("col"))
+    """The first table: how an area's options look to the other areas; its own column is blank."""
+    return ratings.where(F.col("area") != F.col("col"))
+
+
+def copied(target: DataFrame, source: DataFrame) -> DataFrame:
+    """(area, option, col, rating): the target's cells with the source's ratings where it has one."""
+    new = source.where("rating is not null and rating <> ''").select("area", "option", "col", F.col("rating").alias("_new"))
+    return target.join(new, ["area", "option", "col"], "left").select("area", "option", "col", F.coalesce("_new", "rating").alias("rating"))
+
+
+def cascade(first: DataFrame, own: DataFrame, added: DataFrame) -> dict[str, DataFrame]:
+    """The five tables: first (ratings by other areas) is copied into second (all cells, own areas' from own); third are
+    its options with a net above 0, renumbered; fourth are the added options; fifth the third's and the fourth's with a
+    net above 0, renumbered."""
+    second = copied(own, own_hidden(first))
+    third = positive_rows(second)
+    return {"first": own_hidden(first), "second": second, "third": third, "fourth": added, "fifth": joined_rows(third, positive_rows(added))}
 
 
 def positive_rows(ratings: DataFrame) -> DataFrame:

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 
-#: Words that no mined term holds, and words that may join a capitalised run.
-STOPWORDS = ("a an and are as at be been but by can could did do does for from had has have he her his how i if in into is it its may might more most no nor not of on one or our shall she should so some such than that the their them then there these they this those to too very was we were what when where which while who whom why will with would you your").split()
-CONNECTORS = ("of", "and", "the", "for", "in", "to")
+# Words that no mined term holds, and words that may join a capitalised run.
+STOPWORDS = (
+    "a an the of in on at to for and or but nor so yet is are was were be been being it its this that these those "
+    "as by with from into onto over under not no if then than you your we our i he she they them his her their "
+    "do does did have has had can could will would should may might there here what which who whom when where why how "
+    "all some any one two three up down out about also just more most very "
+    "dr drs each other own let next through term four day days page pages"
+).split()
+CONNECTORS = ("of", "the", "and", "for", "to", "in", "a", "an")
 DECISIONS = ("translate", "keep english", "gloss on first use")
 
 
@@ -31,9 +37,9 @@ def match_terms(segments: DataFrame, seed: list[tuple[str, str]], contexts: int
     A term without a match has frequency 0 and nulls.
     """
     spark = segments.sparkSession
-    found = F.filter(F.array(*[F.struct(F.lit(i).alias("ord"), F.regexp_count("text", F.lit(T.term_pattern(a or t))).alias("n")) for i, (t, a) in enumerate(seed)]), lambda s: s["n"] > 0)
-    hits = segments.select("text", "occurrence_type", "file", "start_line", F.explode(found).alias("m")).select("m.ord", "m.n", "occurrence_type", "file", "start_line", F.substring("text", 1, 160).alias("context"))
-    total = hits.groupBy("ord").agg(F.sum("n").alias("frequency"), F.array_join(F.sort_array(F.collect_set("occurrence_type")), " | ").alias("occurrence_types"))
+    found = F.filter(F.array(*[F.struct(F.lit(i).alias("ord"), F.regexp_count("text", F.lit(T.term_pattern(t, a))).alias("n")) for i, (t, a) in enumerate(seed)]), lambda s: s["n"] > 0)
+    hits = segments.select("text", "occurrence_type", "file", "start_line", F.explode(found).alias("m")).select("m.ord", "m.n", "occurrence_type", "file", "start_line", F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 160).alias("context"))
+    total = hits.groupBy("ord").agg(F.sum("n").alias("frequency"), F.array_join(F.sort_array(F.collect_set("occurrence_type")), "|").alias("occurrence_types"))
     shown = first_distinct(hits, ["ord"], "context", ["file", "start_line"], contexts)
     terms = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(seed)], "ord int, term string")
     out = terms.join(total, "ord", "left").join(shown, "ord", "left")

@@ -38,7 +38,7 @@ def histogram_pdf_overlay(spark, sf_dir):
     return rounded(histograms.with_density(lines(spark, sf_dir), ["l_returnflag"], "value", 4.0, 0.5).drop("low", "high"))
 
 
-@query(f"WITH {LINE_SQL} SELECT l_suppkey, l_quantity AS value, i, row_number() OVER (PARTITION BY l_suppkey, l_quantity ORDER BY i) AS level FROM li WHERE i < 100")
+@query(f"WITH {LINE_SQL} SELECT l_suppkey, l_quantity AS value, i, row_number() OVER (PARTITION BY l_suppkey, l_quantity ORDER BY i) AS level FROM li")
 def stacked_boxes(spark, sf_dir):
     li = supplier_lines(spark, sf_dir).select("l_suppkey", F.col("l_quantity").alias("value"), F.col("i").cast("long").alias("i"))
     return series.stacked(li, ["l_suppkey"], "value", ["i"])
@@ -57,7 +57,7 @@ def interval_counts(spark, sf_dir):
     return histograms.tabulated(lines(spark, sf_dir), ["l_returnflag"], "value", [1, 10, 25, 50])
 
 
-@query("SELECT p_size AS position, u.n AS level FROM (SELECT p_size, least(count(*), 8) AS c FROM part GROUP BY 1), LATERAL (SELECT unnest(generate_series(1, c)) AS n) u")
+@query("SELECT p_size AS position, u.n AS level FROM (SELECT p_size, count(*) AS c FROM part GROUP BY 1), LATERAL (SELECT unnest(generate_series(1, c)) AS n) u")
 def weighted_bins_expanded(spark, sf_dir):
     bins = table(spark, sf_dir, "part").groupBy(F.col("p_size").alias("position")).agg(F.count(F.lit(1)).alias("count"))
     return histograms.expanded(bins).select("position", "level")

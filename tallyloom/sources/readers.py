@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 
@@ -60,8 +59,8 @@ def front_matter(text: Column, path: Column) -> dict[str, Column]:
     return {"title": F.coalesce(field("pagetitle"), field("title"), path), "description": field("description")}
 
 
-LEDGER = T.StructType.fromDDL("firstSeen string, activeMsByDevice map<string,bigint>, days array<string>, chapters array<string>, actsByDevice map<string,bigint>, maxDay int")
-LEGACY = T.StructType.fromDDL("firstSeen string, activeMs bigint, acts bigint, days array<string>, chapters array<string>, maxDay int")
+LEDGER = "firstSeen string, activeMsByDevice map<string,bigint>, days array<string>, chapters array<string>, actsByDevice map<string,bigint>, maxDay int"
+LEGACY = "firstSeen string, activeMs bigint, acts bigint, days array<string>, chapters array<string>, maxDay int"
 
 
 def ledgers(df: DataFrame, document: str = "document", device: str = "device") -> DataFrame:

@@ -31,9 +31,17 @@ def json_document(df: DataFrame, key: str, entry: str) -> DataFrame:
     return df.agg(F.to_json(pair, {"pretty": "true"}).alias("value"))
 
 
-def text(df: DataFrame, path: str) -> None:
-    """Texts as they are, without a newline of our own."""
-    df.select(F.col(df.columns[0]).cast("string").alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
+def text(files: DataFrame, root: str) -> None:
+    """files(path, text) as files below root, byte for byte, without a newline of our own; null texts give no file.
+    One document at a time passes through the driver, onto whatever store Spark's file systems reach."""
+    sc = files.sparkSession.sparkContext
+    for path, content in files.where("path is not null and text is not null").select("path", "text").toLocalIterator():
+        to = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        out = to.getFileSystem(sc._jsc.hadoopConfiguration()).create(to, True)
+        try:
+            out.write(bytearray(content.encode()))
+        finally:
+            out.close()
 
 
 def download(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
