@@ -3,17 +3,18 @@
 A window is `window` consecutive words of one document.  A word goes if a window over it also starts in a document
 with a smaller id.  Windows are judged on the input.
 
-1. Anchors.  Of the `window - anchor + 1` anchor-grams of a window, the one with the smallest hash is its anchor.  It
-   depends on the window's words alone, so that equal windows have equal anchors.  Anchors of at least two documents
-   are recurring; a window whose anchor is not recurring is unique.
-2. Passages.  The documents that hold recurring anchors are read with the list of theirs; each run of windows around
-   one recurring anchor is a passage.  Equal passages are summed up before they move on (smallest id).
-3. Automata.  Passages are dealt by anchor; each shard compiles Aho-Corasick automata of the passages' windows, a
-   bounded number of windows at a time, streams the passages through them, and so finds for every window of every
-   passage the smallest id that holds the window, word for word.
-4. The windows owned by a smaller id are joined to their documents and covered words go.
-
-Skew: an anchor of more than `hot` documents is dealt by window instead, where equal windows are summed up before the
+1. Phrases.  Of the `window - anchor + 1` runs of `anchor` words in a window, the one with the smallest hash is its
+   phrase.  It depends on the window's words alone, so that equal windows have equal phrases.  Phrases that start in at
+   least two documents recur; a window whose phrase does not is unique.
+2. Passages.  The documents that hold recurring phrases are read with the list of theirs; each run of windows around
+   one recurring phrase is a passage.  A passage is dealt to its phrase's shard, and to no other: the windows of another
+   shard have other phrases and cannot occur in it.  Equal passages are summed up before they move on (smallest id).
+3. Automata.  Each shard compiles Aho-Corasick automata of its passages' windows, a bounded number of windows at a time,
+   larger ids first, so that the smallest id that holds a window stays with it.  All the shard's passages are streamed
+   through the automaton, one character a word, which locates every window word for word and gives its owner.
+4. Windows whose owner is a smaller id are joined to their documents and the words that they cover go.
+
+Skew: a phrase of more than `hot` occurrences is dealt by window instead, where equal windows are summed up before the
 shuffle; joins have both sides shuffled so that adaptive execution can split them.  Only numbers and passages that may
 repeat are shuffled, the text twice.  Nothing is capped.
 
@@ -32,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, by_bytes
-from tallyloom.llm.hashing import WordHash, grams
+from tallyloom.llm.hashing import Words, grams, mix
 
-_CACHE = WordHash()
-#: Windows that one automaton holds.
+#: Windows that one automaton holds, about; one shard is not divided.
 AUTOMATON = 20_000
 BATCH_BYTES = 4 << 20
 
@@ -55,95 +55,121 @@ def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return best, at
 
 
+class Windows:
+    """The windows of a batch of texts: text number, anchor and its place for every word at which one starts."""
+
+    def __init__(self, texts: pa.Array, window: int, anchor: int):
+        self.words = Words(texts)
+        self.hash = self.words.hashes()
+        self.best, self.at = anchors(self.hash, window, anchor)
+        self.text = self.words.text_of()[: len(self.best)]
+        self.inside = np.arange(len(self.best)) + window <= self.words.first[1:][self.text]
+
+    def runs(self, keep: np.ndarray, single: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """First and last windows of runs of kept windows of a text with one anchor; single ones stand alone."""
+        keep = keep & self.inside
+        begin = keep.copy()
+        same = (self.at[1:] == self.at[:-1]) & (self.text[1:] == self.text[:-1]) & keep[:-1]
+        if single is not None:
+            same &= ~single[1:] & ~single[:-1]
+        begin[1:] &= ~same
+        return np.nonzero(begin)[0], np.nonzero(keep & np.append(begin[1:] | ~keep[1:], True)[: len(keep)])[0]
+
+
 def _anchor_rows(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            keys, ids = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                key = np.unique(anchors(_CACHE.of(text.split()), window, anchor)[0])
-                keys.append(key)
-                ids.append(np.full(len(key), doc_id, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["anchor", "doc_id"])
+            w = Windows(batch.column("text"), window, anchor)
+            first = w.runs(np.ones(len(w.best), bool))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(w.best[first].view(np.int64)), batch.column("doc_id").take(pa.array(w.text[first]))], names=["anchor", "doc_id"])
 
     return run
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of an array of lists of longs, and the row that each is of."""
+    values = pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    return values.view(np.uint64), pa.compute.list_parent_indices(lists).to_numpy().astype(np.uint64)
+
+
 def _passage_rows(window: int, anchor: int):
-    """(anchor, passage, doc_id, version, start): the runs of windows around a recurring anchor; for hot ones each window."""
+    """(shard, passage, doc_id, version, start): the runs of windows around a recurring anchor; for hot ones each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            shard, passage, ids, versions, starts = [], [], [], [], []
-            for doc_id, version, text, wanted, hot in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "version", "text", "anchors", "hot"))):
-                ws = text.split()
-                h = _CACHE.of(ws)
-                best, at = anchors(h, window, anchor)
-                mine = best.view(np.int64)
-                keep = np.isin(mine, np.array(wanted, np.int64))
-                if not keep.any():
-                    continue
-                single = np.isin(mine, np.array(hot, np.int64)) if hot else np.zeros(len(mine), bool)
-                begin = keep.copy()
-                begin[1:] &= (at[1:] != at[:-1]) | single[1:] | ~keep[:-1]
-                own = grams(h, window).view(np.int64) if single.any() else mine
-                first = np.nonzero(begin)[0]
-                last = np.empty(len(first), np.int64)
-                ends = np.nonzero(keep & np.append(begin[1:] | ~keep[1:], True))[0]
-                last[:] = ends
-                for s, e in zip(first.tolist(), last.tolist()):
-                    shard.append(int(own[s] if single[s] else mine[s]))
-                    passage.append(b" ".join(ws[s : e + window]))
-                    ids.append(doc_id)
-                    versions.append(version)
-                    starts.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(passage, pa.binary()), pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(starts, pa.int32())], names=["shard", "passage", "doc_id", "version", "start"])
+            w = Windows(batch.column("text"), window, anchor)
+            # an anchor of a text as one number; should two fall together, a passage too many is looked at
+            of = lambda value, row: mix(value + (row + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            mine = of(w.best, w.text.astype(np.uint64))
+            keep = np.isin(mine, of(*_flat(batch.column("anchors"))))
+            single = np.isin(mine, of(*_flat(batch.column("hot"))))
+            first, last = w.runs(keep, single)
+            shard = np.where(single[first], grams(w.hash, window)[first], w.best[first]).view(np.int64)
+            text, start, end = w.words.single_spaced()
+            passage = [text[a:b] for a, b in zip(start[first].tolist(), end[last + window - 1].tolist())]
+            row = pa.array(w.text[first])
+            at = pa.array((first - w.words.first[:-1][w.text[first]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(passage, pa.binary()), batch.column("doc_id").take(row), batch.column("version").take(row), at], names=["shard", "passage", "doc_id", "version", "start"])
 
     return run
 
 
-def _owner_rows(window: int, most: int):
-    """Rows (shard, passage, owner) sorted by shard -> (shard, key, owners): for each window of the passage the
-    smallest owner of a passage that holds it."""
+def located(passages: list[bytes], owners: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, values): for the windows of each passage, in order, the smallest owner of a passage that holds them.
+
+    An automaton of all windows, larger owners first, through which the passages are streamed as one text of a
+    character a word; passages are single-spaced."""
     import ahocorasick
 
-    def resolve(rows: list[tuple[int, bytes, int]]) -> tuple[list, list]:
-        code: dict[bytes, str] = {}
-
-        def coded(passage: bytes) -> str:
-            return "".join([code.setdefault(w, chr(len(code) + (2048 + 1 if len(code) >= 0xD7FF else 1))) for w in passage.split()])
-
-        texts = [coded(p) for _, p, _ in rows]
-        smallest: dict[str, int] = {}
-        for text, (_, _, owner) in zip(texts, rows):
-            for i in range(len(text) - window + 1):
-                w = text[i : i + window]
-                if owner < smallest.get(w, owner + 1):
-                    smallest[w] = owner
-        automaton = ahocorasick.Automaton()
-        for w, owner in smallest.items():
-            automaton.add_word(w, owner)
-        automaton.make_automaton()
-        return texts, [[owner for _, owner in automaton.iter(t)] for t in texts]
+    joined = b" ".join(passages) + b" "
+    space = np.frombuffer(joined, np.uint8) == 32
+    offsets = np.append(0, np.nonzero(space)[0] + 1).astype(np.int32)
+    code = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode().indices.to_numpy().astype(np.uint32)
+    # characters from 1 on, without the surrogates
+    code += np.where(code >= 0xD7FF, 2049, 1).astype(np.uint32)
+    size = np.array([p.count(b" ") + 1 for p in passages])
+    begin = np.cumsum(size) - size
+    stream = code.tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton()
+    add = automaton.add_word
+    for i in np.argsort(-np.array(owners), kind="stable").tolist():
+        owner, low = owners[i], int(begin[i])
+        for at in range(low, low + int(size[i]) - window + 1):
+            add(stream[at : at + window], owner)
+    automaton.make_automaton()
+    hits = np.array(list(automaton.iter(stream)), np.int64).reshape(-1, 2)
+    # the stream's windows that cross from one passage to the next are none
+    of = np.repeat(np.arange(len(size)), size)[hits[:, 0]]
+    inside = hits[:, 0] - window + 1 >= begin[of]
+    return size - window + 1, hits[inside, 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(rows: list[tuple[int, bytes, int]], keys: list[int]) -> pa.RecordBatch:
-            owners = resolve(rows)[1]
-            # passages of which no window has a smaller owner than the passage itself are of no use
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(keys, pa.int64()), pa.array(owners, pa.list_(pa.int64()))], names=["shard", "key", "owners"])
 
-        held: list[tuple[int, bytes, int]] = []
-        keys: list[int] = []
+def _owner_rows(window: int, most: int):
+    """Rows (shard, passage, owner, key, key2) sorted by shard -> (shard, key, key2, owners): for each window of the
+    passage the smallest owner of a passage that holds it."""
+
+    def put(held: list[list]) -> pa.RecordBatch:
+        shard, passage, owner, key, key2 = held
+        counts, values = located(passage, owner, window)
+        owners = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), owners], names=["shard", "key", "key2", "owners"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], [], []]
         n = 0
         for batch in batches:
-            for shard, passage, owner, key in zip(*(batch.column(c).to_pylist() for c in ("shard", "passage", "owner", "key"))):
-                if n >= most and held[-1][0] != shard:
-                    yield put(held, keys)
-                    held, keys, n = [], [], 0
-                held.append((shard, passage, owner))
-                keys.append(key)
-                n += passage.count(b" ") + 2 - window
-        if held:
-            yield put(held, keys)
+            columns = [batch.column(c).to_pylist() for c in ("shard", "passage", "owner", "key", "key2")]
+            shards = np.array(columns[0], np.int64)
+            edges = [0, *(np.nonzero(shards[1:] != shards[:-1])[0] + 1).tolist(), len(shards)]
+            for a, b in zip(edges, edges[1:]):
+                if n >= most and held[0][-1] != columns[0][a]:
+                    yield put(held)
+                    held, n = [[], [], [], [], []], 0
+                for h, c in zip(held, columns):
+                    h.extend(c[a:b])
+                n += sum([p.count(b" ") + 2 - window for p in columns[1][a:b]])
+        if held[0]:
+            yield put(held)
 
     return run
 
@@ -151,24 +177,23 @@ def _owner_rows(window: int, most: int):
 def _kept_rows(window: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            total, removed, kept = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-                ws = (text or b"").split()
-                gone = 0
-                if starts:
-                    edge = np.zeros(len(ws) + 1, np.int64)
-                    at = np.unique(np.array(starts, np.int64))
-                    edge[at] += 1
-                    np.subtract.at(edge, at + window, 1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone = int(covered.sum())
-                    left = [ws[i] for i in np.nonzero(~covered)[0].tolist()]
+            words = Words(batch.column("text"))
+            text, start, end = words.single_spaced()
+            value, row = _flat(pa.compute.if_else(pa.compute.is_null(batch.column("starts")), pa.scalar([], batch.column("starts").type), batch.column("starts")))
+            edge = np.zeros(len(words.start) + 1, np.int64)
+            at = value.astype(np.int64) + words.first[row.astype(np.int64)]
+            np.add.at(edge, at, 1)
+            np.subtract.at(edge, at + window, 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            total = np.append(0, np.cumsum(gone))
+            removed = total[words.first[1:]] - total[words.first[:-1]]
+            kept = []
+            for n, r, a, b in zip(words.count.tolist(), removed.tolist(), words.first[:-1].tolist(), words.first[1:].tolist()):
+                if not r:
+                    kept.append(text[start[a] : end[b - 1]] if n else b"")
                 else:
-                    left = ws
-                total.append(len(ws))
-                removed.append(gone)
-                kept.append(b" ".join(left))
-            columns = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                    kept.append(b" ".join([text[start[i] : end[i]] for i in (np.nonzero(~gone[a:b])[0] + a).tolist()]))
+            columns = [batch.column("doc_id"), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [batch.column(c) for c in carry], names=["doc_id", "n_words", "n_removed", "kept_text", *carry])
 
     return run
@@ -180,17 +205,22 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 13, anchor
     if not 0 < anchor <= window:
         raise ValueError("anchor must be between 1 and window")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    pairs = texts.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long")
+    pairs = scratch.keep(texts.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long"), "pairs")
     recurring = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     recurring = scratch.keep(recurring.select("anchor", (F.col("n") > hot).alias("hot")), "recurring")
     lists = pairs.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    lists = scratch.keep(lists, "lists")
+    scratch.drop("pairs")
+    scratch.drop("recurring")
     passages = texts.withColumn("version", F.xxhash64("text")).join(lists, "doc_id").mapInArrow(_passage_rows(window, anchor), "shard long, passage binary, doc_id long, version long, start int")
     passages = scratch.keep(passages, "passages")
-    scratch.drop("recurring")
-    distinct = passages.groupBy("shard", "passage").agg(F.min("doc_id").alias("owner"))
-    distinct = distinct.withColumn("key", F.xxhash64("passage")).repartition("shard").sortWithinPartitions("shard")
-    owners = distinct.mapInArrow(_owner_rows(window, AUTOMATON), "shard long, key long, owners array<long>")
-    found = passages.select("shard", F.xxhash64("passage").alias("key"), "doc_id", "version", "start").join(owners, ["shard", "key"])
+    scratch.drop("lists")
+    # 128 bits stand for a passage's words on the way back
+    keys = [F.xxhash64("passage").alias("key"), F.xxhash64(F.lit(7), "passage").alias("key2")]
+    distinct = passages.groupBy("shard", "passage").agg(F.min("doc_id").alias("owner")).select("shard", "passage", "owner", *keys)
+    distinct = distinct.repartition("shard").sortWithinPartitions("shard")
+    owners = distinct.mapInArrow(_owner_rows(window, AUTOMATON), "shard long, key long, key2 long, owners array<long>")
+    found = passages.select("shard", *keys, "doc_id", "version", "start").join(owners, ["shard", "key", "key2"])
     found = found.select("doc_id", "version", F.expr("filter(transform(owners, (o, i) -> if(o < doc_id, start + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
     found = scratch.keep(found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
     scratch.drop("passages")
