@@ -72,6 +72,20 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
         yield batch.slice(start)
 
 
+def sampled(rows: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """About `most` rows of each label, all of a label that has no more: those whose key has a hash below a threshold that
+    follows from the label's number of rows.  No row moves; only the labels' counts reach the driver, one row a label."""
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = {k: n for k, n in counts.items() if n > most}
+    if not large:
+        return rows
+    place = F.shiftrightunsigned(F.xxhash64(key), 11) / F.lit(2.0**53)
+    share = F.lit(1.0)
+    for k, n in large.items():
+        share = F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(most / n)).otherwise(share)
+    return rows.where(place < share)
+
+
 def words(text):
     """Column: the words [^\\x20\\x09-\\x0D]+ of a text, in order; null and empty texts have none."""
     spaced = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

@@ -5,8 +5,9 @@ lower-cased, a space between words) is trained for every bit.  A text's language
 smallest loss-weighted distance (logistic loss of the bit margins); texts whose two nearest codewords are about as
 near are flagged.
 
-Training reads at most `per_language` labelled documents of each language, those of smallest hash of the id; their
-n-gram counts are made on the executors.  Prediction reads every whole text, as a stream of numbers; nothing is
+Training reads about `per_language` labelled documents of each language, chosen by a hash of the id against a threshold
+that follows from the language's count; their n-gram counts are made on the executors, and the classifiers are trained
+from the sparse rows, a mini-batch of them dense at a time.  Prediction reads every whole text, as a stream of numbers; nothing is
 shuffled.
 
 Nulls and odd cases: texts that are null or have no letter are `und` with score 0; null labels are not learned from;
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import by_bytes
+from tallyloom.llm.common import by_bytes, sampled
 
 BUCKETS = 1 << 13
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -58,19 +59,29 @@ def codewords(n: int, bits: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def train(x: np.ndarray, y: np.ndarray, n: int, bits: int, rounds: int = 200, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights, bias, codewords) of logistic bit classifiers, by full-batch gradient descent with momentum."""
+def train(at: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, n: int, bits: int, rounds: int = 30, rate: float = 0.5, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, bias, codewords) of logistic bit classifiers by AdaGrad over mini-batches of sparse rows (at, value);
+    languages weigh the same in total."""
     code = codewords(n, bits)
-    goal = code[y]
-    weight = (1 / np.bincount(y, minlength=n).clip(1))[y][:, None] / n
-    w, b = np.zeros((x.shape[1], bits)), np.zeros(bits)
-    dw, db = np.zeros_like(w), np.zeros_like(b)
+    goal = code[y].astype(np.float32)
+    weight = (len(y) / n / np.bincount(y, minlength=n).clip(1))[y].astype(np.float32)
+    w, b = np.zeros((BUCKETS, bits), np.float32), np.zeros(bits, np.float32)
+    sw, sb = np.full_like(w, 1e-6), np.full_like(b, 1e-6)
+    rng = np.random.default_rng(seed)
     for _ in range(rounds):
-        g = -goal / (1 + np.exp(np.clip(goal * (x @ w + b), -30, 30))) * weight
-        dw = 0.9 * dw + x.T @ g + decay * w
-        db = 0.9 * db + g.sum(0)
-        w, b = w - rate * dw, b - rate * 0.1 * db
-    return w.astype(np.float32), b, code
+        order = rng.permutation(len(y))
+        for first in range(0, len(y), 64):
+            pick = order[first : first + 64]
+            used, back = np.unique(np.concatenate([at[i] for i in pick]), return_inverse=True)
+            x = np.zeros((len(pick), len(used)), np.float32)
+            x[np.repeat(np.arange(len(pick)), [len(at[i]) for i in pick]), back] = np.concatenate([value[i] for i in pick])
+            g = -goal[pick] / (1 + np.exp(np.clip(goal[pick] * (x @ w[used] + b), -30, 30))) * (weight[pick] / len(pick))[:, None]
+            gw, gb = x.T @ g + decay * w[used] / len(pick), g.sum(0)
+            sw[used] += gw * gw
+            sb += gb * gb
+            w[used] -= rate * gw / np.sqrt(sw[used])
+            b -= 0.1 * rate * gb / np.sqrt(sb)
+    return w, b, code
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,19 +98,15 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame, label: str = "lang", per_language: int = 300, bits: int = 15) -> dict | None:
-    """A model from the labelled rows of docs(doc_id, text, label); None without any."""
+    """A model from the labelled rows of docs(doc_id, text, label); None without any that has a letter."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("text", "label")
-    got = sample.mapInArrow(_feature_rows, "label string, at array<int>, value array<float>").toPandas()
+    got = sampled(rows, "doc_id", "label", per_language).select("text", "label").mapInArrow(_feature_rows, "label string, at array<int>, value array<float>").toPandas()
     if not len(got):
         return None
+    got = got.sort_values("label", kind="stable")
     names = sorted(set(got["label"]))
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, (at, value) in enumerate(zip(got["at"], got["value"])):
-        x[i, at] = value
     y = np.array([names.index(v) for v in got["label"]])
-    w, b, code = train(x, y, len(names), bits)
+    w, b, code = train([np.asarray(x, np.int64) for x in got["at"]], [np.asarray(x, np.float32) for x in got["value"]], y, len(names), bits)
     return {"names": names, "weights": w, "bias": b, "code": code}
 
 

@@ -14,7 +14,7 @@ Banding: `bands` keys of `rows` slots each.  With 28 x 4 a pair at 0.80 meets in
 Pairs: not all pairs of a bucket are made.  Each member is compared with its bucket's hub (linear in the bucket), and
 members linked with each other through hubs are done with.  A member that is not in its hub's component is `away`; a
 pair is open if one of its two is away.  Where a bucket has few open pairs a member, they are made.  Else pairs
-are searched by what tells members from their hub: for sets D and D' with hub H, D and D' differ as much as the deltas
+are searched by what tells members from their hub (buckets with hubs of one component become one before): for sets D and D' with hub H, D and D' differ as much as the deltas
 D ^ H and D' ^ H do (^: symmetric difference), so that a link asks for deltas that share a number of shingles, known
 from the sizes, and a shingle among the rarest of each (prefix filter; the length of the prefix uses that an away
 member's delta is too large for a link with H).  Members whose deltas share a prefix shingle form the next, smaller
@@ -206,8 +206,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
         links = more(links, met.where("linked").select("u", "v"))
         stars = scratch.keep(components(links, scratch, f"star{turn}_").select(F.col("node").alias("rep"), F.col("component").alias("k")), f"stars{turn}")
         named = members.join(met.select(F.col("u").alias("hub"), F.col("v").alias("rep"), "distance"), ["hub", "rep"], "left").join(stars, "rep", "left").withColumn("k", F.coalesce("k", "rep"))
-        named = named.join(stars.select(F.col("rep").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").withColumn("away", F.col("k") != F.coalesce("hub_k", "hub"))
-        named = scratch.keep(named.select("g", "rep", "n", "c", "hub", "hub_n", "distance", "k", "away"), f"named{turn}")
+        named = named.join(stars.select(F.col("rep").alias("hub"), F.col("k").alias("hub_k")), "hub", "left").withColumn("hub_k", F.coalesce("hub_k", "hub")).withColumn("away", F.col("k") != F.col("hub_k"))
+        named = scratch.keep(named.select("g", "rep", "n", "c", "hub", "hub_n", "hub_c", "hub_k", "distance", "k", "away"), f"named{turn}")
         sizes = scratch.keep(named.groupBy("g").agg(F.count_if("away").alias("aways"), F.min("k").alias("lo"), F.max("k").alias("hi")).where("aways > 0 and lo < hi").select("g", (F.col("aways") > (FEW if turn < TURNS else 2**62)).alias("many")), f"sizes{turn}")
         kinds = {r["many"] for r in sizes.select("many").distinct().collect()}  # two rows
         if False in kinds:
@@ -219,7 +219,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, bands: int =
             pairs = more(pairs, scratch.keep(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"pairs{turn}"))
         if True not in kinds:
             break
-        buckets = _divided(named.join(sizes.where("many").select("g"), "g").drop("distance"), sets, scratch, percent, turn)
+        many = named.join(sizes.where("many").select("g"), "g").drop("distance")
+        if turn == 0:  # buckets whose hubs are of one component become one, with the hub that most members have
+            centre = many.groupBy("hub_k", "hub", "hub_n", "hub_c").agg(F.count(F.lit(1)).alias("m")).groupBy("hub_k").agg(F.max(F.struct("m", (-F.col("hub")).alias("less"), "hub", "hub_n", "hub_c")).alias("h"))
+            joined = many.select("hub_k", "rep", "n", "c").distinct().join(centre, "hub_k").where("rep <> h.hub")
+            turn = 1
+            members = scratch.keep(joined.select(F.col("hub_k").alias("g"), "rep", "n", "c", "h.hub", "h.hub_n", "h.hub_c"), "members1")
+            continue
+        buckets = _divided(many, sets, scratch, percent, turn)
         buckets = scratch.keep(buckets, f"buckets{turn}")
         # deltas of s and t shingles must share this many, of which those before the shared one are none
         need = f"(us + vs - {100 - percent} * (un + vn) / {100.0 + percent!r}) / 2 - 1e-9"
