@@ -117,7 +117,7 @@ def test_embeddings(spark):
 
     links = [(i, j) for i in range(len(rows)) for j in range(i) if fine(rows[i]) and fine(rows[j]) and cosine(rows[i], rows[j]) >= 0.9]
     want = roots(len(rows), links)
-    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df, 0.9, tile=16).collect()}
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(df, 0.9, tile_bytes=1024).collect()}
     for i in range(len(rows)):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (sum(i in p for p in links), want[i], want[i] == i)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
@@ -202,15 +202,16 @@ def test_language_id(spark):
     assert language_id.fit(df.limit(0)) is None
 
 
-def test_toxicity_learns_a_pair(spark):
-    """Neither term alone is toxic, both together are."""
+@pytest.mark.parametrize("toxic", [lambda a, b: a & b, lambda a, b: 1 - (a ^ b)], ids=["both", "alike"])
+def test_toxicity_learns_a_pair(spark, toxic):
+    """Neither term alone is toxic; alike: nor does either say anything by itself."""
     r = random.Random(4)
     rows = []
     for i in range(1200):
         a, b = i % 2, i // 2 % 2
         w = r.choices([f"n{k}" for k in range(50)], k=8) + ["insult"] * a + ["group"] * b
         r.shuffle(w)
-        rows.append((i, " ".join(w), a & b))
+        rows.append((i, " ".join(w), toxic(a, b)))
     df = spark.createDataFrame([*rows, (5000, None, None), (5001, "", None)], "doc_id long, text string, toxic int")
     model = toxicity.fit(df.where("doc_id % 5 <> 0").select("doc_id", "toxic"), df.select("doc_id", "text"))
     got = {x.doc_id: x.score for x in toxicity.score(df, model).collect()}
