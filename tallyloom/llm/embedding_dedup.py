@@ -8,8 +8,13 @@ The rotation only decides how early pairs stop, never which pairs are found.
 
 Distribution: equal vectors form a class with a count.  Classes are put into cells of the two leading coordinates, as
 wide as two linked vectors can be apart, so that links lie within a cell or between neighbours; cells are split into
-tiles of about `tile` vectors by hash, however many a cell holds.  A tile pair returns one row for each linked vector
-(number of links, smallest linked-to member of its local component), never the pairs.
+tiles of about `tile_bytes` by hash, however many a cell holds.  A tile travels once for each of its tile pairs, in the
+element type of the input; a task holds two tiles at a time and returns one row for each linked vector of the pair
+(number of links, smallest linked-to member of its local component), never the links.
+
+Cost: the number of tile pairs follows the cells.  Where the spectrum falls off quickly few cells are neighbours; where
+vectors point everywhere alike most cells are, and all tiles are compared: no partition of such vectors keeps links of
+cosine 0.9 together, since two unrelated vectors are hardly further apart in any few coordinates than linked ones may be.
 
 Nulls and odd cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 neither do vectors of different lengths, nor rows with a null vec_id (component_id null, kept true); rows that share a
@@ -45,10 +50,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _cell_rows(axes: dict[int, np.ndarray], width: float):
+def _cell_rows(axes: dict[int, np.ndarray], width: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.array(v, np.float64) for v in batch.column("vector").to_pylist()]
+            raw = [np.array(v, kind) for v in batch.column("vector").to_pylist()]
             cells = np.zeros((len(raw), 2), np.int64)
             for i, v in enumerate(raw):
                 u = unit(v[None])[0]
@@ -62,73 +67,111 @@ def _cell_rows(axes: dict[int, np.ndarray], width: float):
     return run
 
 
-def linked_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float, same: bool, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (i, j) with cosine >= threshold; a, b: unit vectors, ra, rb: the same on the principal axes; same: a is
-    b, and only i < j."""
+TILE = "dim int, x int, y int, part long, reps binary, counts binary, vectors binary"
+
+
+def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by tile -> a row a tile."""
+
+    def put(tile: tuple, rows: list[list]) -> pa.RecordBatch:
+        packed = [np.array(rows[0], np.int64).tobytes(), np.array(rows[1], np.int64).tobytes(), b"".join(rows[2])]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*tile, *packed], [pa.int32()] * 3 + [pa.int64()] + [pa.binary()] * 3)], names=[c.split()[0] for c in TILE.split(", ")])
+
+    now, held = None, [[], [], []]
+    for batch in batches:
+        for *tile, rep, n, vector in zip(*(batch.column(c).to_pylist() for c in ("dim", "x", "y", "part", "rep", "n", "vector"))):
+            if tile != now:
+                if now is not None:
+                    yield put(now, held)
+                now, held = tile, [[], [], []]
+            for h, v in zip(held, (rep, n, vector)):
+                h.append(v)
+    if now is not None:
+        yield put(now, held)
+
+
+def linked_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float, same: bool, step: int = 16, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices (i, j) with cosine >= threshold, `chunk` rows of a at a time; a, b: unit vectors, ra, rb: the same on the
+    principal axes; same: a is b, and only i < j."""
     d = ra.shape[1]
     slack = 1e-4  # of single precision
-    la, lb = ra[:, :step].astype(np.float32), rb[:, :step].astype(np.float32)
-    sa, sb = (np.sqrt((r[:, step:] ** 2).sum(1)).astype(np.float32) for r in (ra, rb))
-    bound = la @ lb.T
-    bound += sa[:, None] * sb[None]
-    mask = bound >= threshold - slack
-    if same:
-        mask &= np.tri(len(a), k=-1, dtype=bool).T
-    i, j = np.nonzero(mask)
-    for lo in range(step, d, step):
-        if not len(i):
-            break
-        ta, tb = (np.sqrt((r[:, lo + step :] ** 2).sum(1)) for r in (ra, rb))
-        keep = []
-        for at in range(0, len(i), 1 << 16):
-            p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            part = np.einsum("ij,ij->i", ra[p, : lo + step], rb[q, : lo + step])
-            keep.append(part + ta[p] * tb[q] >= threshold - slack)
-        k = np.concatenate(keep)
-        i, j = i[k], j[k]
-    keep = [np.einsum("ij,ij->i", a[i[at : at + (1 << 16)]], b[j[at : at + (1 << 16)]]) >= threshold for at in range(0, len(i), 1 << 16)]
-    k = np.concatenate(keep) if keep else np.empty(0, bool)
-    return i[k], j[k]
-
-
-def local_roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each node the smallest id in its component of the pairs (i, j)."""
-    root = ids.copy()
+    lb = rb[:, :step].astype(np.float32).T.copy()
+    tails = {lo: tuple(np.sqrt((r[:, lo:] ** 2).sum(1)) for r in (ra, rb)) for lo in range(step, d + step, step)}
+    sb = tails[step][1].astype(np.float32)
+    for low in range(0, len(a), chunk):
+        bound = ra[low : low + chunk, :step].astype(np.float32) @ lb
+        bound += tails[step][0][low : low + chunk, None].astype(np.float32) * sb[None]
+        i, j = np.nonzero(bound >= threshold - slack)
+        i += low
+        if same:
+            i, j = i[i < j], j[i < j]
+        for lo in range(step, d, step):
+            if not len(i):
+                break
+            ta, tb = tails[lo + step]
+            keep = []
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                part = np.einsum("ij,ij->i", ra[p, : lo + step], rb[q, : lo + step])
+                keep.append(part + ta[p] * tb[q] >= threshold - slack)
+            k = np.concatenate(keep)
+            i, j = i[k], j[k]
+        if len(i):
+            k = np.concatenate([np.einsum("ij,ij->i", a[i[at : at + (1 << 16)]], b[j[at : at + (1 << 16)]]) >= threshold for at in range(0, len(i), 1 << 16)])
+            yield i[k], j[k]
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """label, in which nodes of a component have its smallest node, after links (i, j)."""
+    i, j = label[i], label[j]
+    root = np.arange(len(label))
     while True:
         low = np.minimum(root[i], root[j])
         new = root.copy()
         np.minimum.at(new, i, low)
         np.minimum.at(new, j, low)
         if (new == root).all():
-            return root
+            return root[label]
         root = new
 
 
-def _pair_rows(axes: dict[int, np.ndarray], threshold: float):
-    def load(rows: list[dict], dim: int):
-        x = unit(np.frombuffer(b"".join(r["vector"] for r in rows), np.float64).reshape(len(rows), dim))
-        return np.array([r["rep"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64), x, x @ axes[dim] if dim in axes else x
+def _pair_rows(axes: dict[int, np.ndarray], threshold: float, kind: str):
+    """Rows (pair, side, dim, reps, counts, vectors) sorted by pair and side; a tile paired with itself has one row."""
+
+    def load(dim: int, reps: bytes, counts: bytes, vectors: bytes):
+        x = unit(np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64))
+        return np.frombuffer(reps, np.int64), np.frombuffer(counts, np.int64), x, x @ axes[dim] if dim in axes else x
+
+    def put(left: tuple, right: tuple | None) -> pa.RecordBatch | None:
+        ia, na, a, ra = left
+        ib, nb, b, rb = right or left
+        ids = ia if right is None else np.concatenate([ia, ib])
+        links, label, base = np.zeros(len(ids), np.int64), np.arange(len(ids)), 0 if right is None else len(ia)
+        for i, j in linked_pairs(a, b, ra, rb, threshold, right is None):
+            links += np.bincount(i, nb[j], len(ids)).astype(np.int64) + np.bincount(j + base, na[i], len(ids)).astype(np.int64)
+            label = joined(label, i, j + base)
+        at = np.nonzero(links)[0]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(least[label[at]])], names=["rep", "links", "root"]) if len(at) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, same = batch.column("dim")[r].as_py(), batch.column("same")[r].as_py()
-                ia, na, a, ra = load(batch.column("left")[r].as_py(), dim)
-                ib, nb, b, rb = (ia, na, a, ra) if same else load(batch.column("right")[r].as_py(), dim)
-                i, j = linked_pairs(a, b, ra, rb, threshold, same)
-                if not len(i):
-                    continue
-                ids = ia if same else np.concatenate([ia, ib])
-                k = j if same else j + len(ia)
-                links = np.bincount(i, nb[j], len(ids)).astype(np.int64) + np.bincount(k, na[i], len(ids)).astype(np.int64)
-                roots = local_roots(ids, i, k)
-                at = np.nonzero(links)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(roots[at])], names=["rep", "links", "root"])
+                pair = batch.column("pair")[r].as_py()
+                if pair != now and held and (out := put(held[0], held[1] if len(held) > 1 else None)):
+                    yield out
+                if pair != now:
+                    now, held = pair, []
+                held.append(load(*(batch.column(c)[r].as_py() for c in ("dim", "reps", "counts", "vectors"))))
+        if held and (out := put(held[0], held[1] if len(held) > 1 else None)):
+            yield out
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 2048, fit_rows: int = 20_000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile_bytes: int = 2 << 20, fit_rows: int = 20_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding).
 
     fit_rows: at most about so many vectors, chosen by hash, are read to find the principal axes.
@@ -145,11 +188,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 2048
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("vector").toPandas()
     axes = principal_axes([np.array(v, np.float64) for v in sample["vector"]])
     width = (2 - 2 * threshold) ** 0.5 + 1e-6
-    placed = classes.mapInArrow(_cell_rows(axes, width), "rep long, n long, dim int, x int, y int, vector binary")
+    kind = "float32" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "float64"
+    placed = classes.mapInArrow(_cell_rows(axes, width, kind), "rep long, n long, dim int, x int, y int, vector binary")
     placed = scratch.keep(placed, "placed")
-    cells = placed.groupBy("dim", "x", "y").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
-    keyed = placed.join(cells, ["dim", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("tiles")))
-    tiles = scratch.keep(keyed.groupBy("dim", "x", "y", "part").agg(F.collect_list(F.struct("rep", "n", "vector")).alias("members")), "tiles")
+    cells = placed.groupBy("dim", "x", "y").agg(F.ceil(F.count(F.lit(1)) * F.col("dim") * int(kind[5:]) / 8 / tile_bytes).alias("tiles"))
+    keyed = placed.join(cells, ["dim", "x", "y"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("tiles"))).drop("tiles")
+    tiles = keyed.repartition("dim", "x", "y", "part").sortWithinPartitions("dim", "x", "y", "part").mapInArrow(_tile_rows, TILE)
+    tiles = scratch.keep(tiles, "tiles")
+    scratch.drop("placed")
 
     # pairs of tiles: within a cell, and with half of the neighbouring cells
     here = tiles.select("dim", "x", "y", "part")
@@ -157,10 +203,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tile: int = 2048
     there = here.select("dim", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("part").alias("part2"))
     pairs = here.withColumn("o", F.explode(near)).select("dim", "x", "y", "part", (F.col("x") + F.col("o.dx")).alias("x2"), (F.col("y") + F.col("o.dy")).alias("y2"))
     pairs = pairs.join(there, ["dim", "x2", "y2"]).where("x <> x2 or y <> y2 or part <= part2")
-    right = tiles.select("dim", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("part").alias("part2"), F.col("members").alias("right"))
-    loaded = pairs.join(tiles.withColumnRenamed("members", "left"), ["dim", "x", "y", "part"]).join(right, ["dim", "x2", "y2", "part2"])
-    loaded = loaded.select("dim", F.expr("x = x2 and y = y2 and part = part2").alias("same"), "left", "right")
-    found = scratch.keep(loaded.mapInArrow(_pair_rows(axes, threshold), "rep long, links long, root long"), "found")
+    left = pairs.select("dim", "x", "y", "part", F.struct("dim", "x", "y", "part", "x2", "y2", "part2").alias("pair"), F.lit(0).alias("side"))
+    right = pairs.where("x <> x2 or y <> y2 or part <> part2").select("dim", F.col("x2").alias("x"), F.col("y2").alias("y"), F.col("part2").alias("part"), F.struct("dim", "x", "y", "part", "x2", "y2", "part2").alias("pair"), F.lit(1).alias("side"))
+    sent = left.unionByName(right).withColumn("pair", F.concat_ws(",", "pair.dim", "pair.x", "pair.y", "pair.part", "pair.x2", "pair.y2", "pair.part2"))
+    sent = scratch.keep(sent, "sent")
+    loaded = tiles.join(sent, ["dim", "x", "y", "part"]).select("pair", "side", "dim", "reps", "counts", "vectors").repartition("pair").sortWithinPartitions("pair", "side")
+    found = scratch.keep(loaded.mapInArrow(_pair_rows(axes, threshold, kind), "rep long, links long, root long"), "found")
+    scratch.drop("tiles")
 
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch, "groups").select(F.col("node").alias("rep"), "component")
