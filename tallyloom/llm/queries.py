@@ -86,21 +86,15 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
-def _op2(rounds: int = 12, damping: float = 0.85) -> str:
+def _op2(rounds: int = 100, damping: float = 0.85) -> str:
     rules = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{h}{p}'" for c, (_, h, p) in zip(fits, rules)) + " END"
     verdict = "CASE " + " ".join(f"WHEN {c} THEN '{k}'" for c, (k, _, _) in zip(fits, rules)) + " END"
     upper, lower = url_filter.UPPER, url_filter.LOWER
     link = url_filter.LINK.replace("'", "''")
-    steps = "".join(
-        f""", r{i} AS (SELECT kind, host, sum(rank) AS rank FROM (
-        SELECT e.kind, e.dst AS host, {damping} * e.part * r.rank AS rank FROM e JOIN r{i - 1} r ON r.kind = e.kind AND r.host = e.src
-        UNION ALL SELECT kind, host, {1 - damping} * seed FROM s) GROUP BY ALL)"""
-        for i in range(1, rounds + 1)
-    )
     return f"""
-    WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+    WITH RECURSIVE u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
     p AS (SELECT page_id, html, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), '{upper}', '{lower}') AS host,
           coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
     j AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM p),
@@ -111,10 +105,12 @@ def _op2(rounds: int = 12, damping: float = 0.85) -> str:
     l AS (SELECT src, dst, count(*) AS n FROM l0 WHERE src <> dst GROUP BY ALL),
     e0 AS (SELECT 'trust' AS kind, src, dst, n FROM l UNION ALL SELECT 'distrust', dst, src, n FROM l),
     e AS (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS part FROM e0),
-    r0 AS (SELECT kind, host, seed AS rank FROM s){steps},
-    f AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) / (SELECT coalesce(sum(rank), 1) FROM r{rounds} WHERE kind = 'trust') AS t,
-          coalesce(sum(rank) FILTER (kind = 'distrust'), 0) / (SELECT coalesce(sum(rank), 1) FROM r{rounds} WHERE kind = 'distrust') AS d
-          FROM r{rounds} GROUP BY host)
+    m AS (SELECT 0 AS i, kind, host, {1 - damping} * seed AS rank FROM s
+          UNION ALL SELECT i + 1, e.kind, e.dst, sum({damping} * e.part * m.rank) FROM m JOIN e ON e.kind = m.kind AND e.src = m.host WHERE i < {rounds} GROUP BY i, e.kind, e.dst),
+    r AS (SELECT kind, host, sum(rank) AS rank FROM m GROUP BY ALL),
+    f AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'trust'), 0) / (SELECT coalesce(sum(rank), 1) FROM r WHERE kind = 'trust') AS t,
+          coalesce(sum(rank) FILTER (kind = 'distrust'), 0) / (SELECT coalesce(sum(rank), 1) FROM r WHERE kind = 'distrust') AS d
+          FROM r GROUP BY host)
     SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d, 0) > coalesce(t, 0) THEN 'block' ELSE 'allow' END) AS verdict
     FROM j LEFT JOIN f ON f.host = j.host
     """

@@ -4,7 +4,9 @@ Rules of (host, path) allow or block a host with all its subdomains where the pa
 rule wins.  For urls without a rule the host decides.  Host edges are the links between pages of different hosts.
 Trust is personalised PageRank along the links from the hosts of allowed pages; distrust is the same against the links
 from the hosts of blocked pages, so that a host which links to blocked ones is distrusted.  Seeds weigh as their pages
-do.  Both are made to sum to 1, and a host whose distrust is above `threshold` times its trust is blocked.
+do.  The rounds go on until what still moves is at most `tolerance` of all.  Both are made to sum to 1, which gives the
+ranks of a walk that returns to the seeds from hosts without links; a host whose distrust is above `threshold` times
+its trust is blocked.
 
 Pages of a host are summed up before any shuffle, edges too; the rounds run over hosts, and are written to the shared
 folder.  The join of pages with hosts has both sides shuffled, so that adaptive execution can split a host that holds
@@ -48,7 +50,7 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def host_scores(pages: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def host_scores(pages: DataFrame, scratch: Scratch, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust) from pages(host, verdict, links: array of hosts); hosts without either are left out."""
     counted = pages.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").alias("allow"), F.count_if(F.col("verdict") == "block").alias("block"))
     seeds = counted.select("host", F.explode(F.map_from_arrays(F.array(F.lit("trust"), F.lit("distrust")), F.array("allow", "block"))).alias("kind", "seed"))
@@ -63,20 +65,22 @@ def host_scores(pages: DataFrame, scratch: Scratch, damping: float = 0.85, round
     edges = forward.unionByName(backward)
     out = edges.groupBy("kind", "from").agg(F.sum("n").alias("all"))
     edges = scratch.keep(edges.join(out, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("all")).alias("part")), "edges")
-    rank = seeds.withColumnRenamed("seed", "rank")
-    if not edges.isEmpty():
-        for i in range(rounds):
-            flow = edges.join(rank.withColumnRenamed("host", "from"), ["kind", "from"]).select("kind", F.col("to").alias("host"), (damping * F.col("part") * F.col("rank")).alias("rank"))
-            rank = flow.unionByName(seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-            rank = scratch.keep(rank, f"rank{i}")
-            if i:
-                scratch.drop(f"rank{i - 1}")
+    # rank: what has arrived at a host; moving: the part of it that arrived last and goes on
+    rank = seeds.select("kind", "host", ((1 - damping) * F.col("seed")).alias("rank"), ((1 - damping) * F.col("seed")).alias("moving"))
+    turn, left = 0, 0.0 if edges.isEmpty() else 1.0
+    while left > tolerance:  # at most log(tolerance) / log(damping) times
+        flow = edges.join(rank.where("moving > 0").select("kind", F.col("host").alias("from"), "moving"), ["kind", "from"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(damping * F.col("part") * F.col("moving")).alias("rank"))
+        both = flow.withColumn("moving", F.col("rank")).unionByName(rank.withColumn("moving", F.lit(0.0)))
+        rank = scratch.keep(both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("moving").alias("moving")), f"rank{turn}")
+        if turn:
+            scratch.drop(f"rank{turn - 1}")
+        turn, left = turn + 1, rank.agg(F.coalesce(F.sum("moving"), F.lit(0.0))).first()[0]
     sums = {r["kind"]: r["s"] for r in rank.groupBy("kind").agg(F.sum("rank").alias("s")).collect()}  # two rows
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0)) / sums.get(kind, 1.0)
     return rank.groupBy("host").agg(part("trust").alias("trust"), part("distrust").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 1.0, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float = 1.0, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of pages(page_id, url, html); rules:
     (allow or block, host, path)."""
     if any(kind not in ("allow", "block") for kind, _, _ in rules):
@@ -86,7 +90,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumns({"rule": rule, "verdict": verdict})
     links = F.transform(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(LINK), F.lit(1)), lambda x: F.translate(x, UPPER, LOWER))
-    scores = host_scores(ruled.select("host", "verdict", links.alias("links")), scratch, damping, rounds)
+    scores = host_scores(ruled.select("host", "verdict", links.alias("links")), scratch, damping, tolerance)
     out = ruled.drop("html").join(scratch.keep(scores, "scores"), "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust > threshold * trust, F.lit("block")).otherwise(F.lit("allow"))
