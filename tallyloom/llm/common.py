@@ -40,12 +40,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(self._CLEANUP, "false")
         self.spark.conf.set(self._CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", codec).parquet(path)
         finally:
             self.spark.conf.set(self._CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import Scratch, by_bytes
 from tallyloom.llm.hashing import Words, grams, mix
 
-#: Windows that one automaton holds, about; one shard is not divided.
-AUTOMATON = 20_000
+#: Windows that one automaton holds, about; one shard is not divided.  Small ones stay in the processor's cache.
+AUTOMATON = 2_000
 BATCH_BYTES = 4 << 20
 
 
@@ -81,7 +81,12 @@ def _anchor_rows(window: int, anchor: int):
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             w = Windows(batch.column("text"), window, anchor)
             first = w.runs(np.ones(len(w.best), bool))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(w.best[first].view(np.int64)), batch.column("doc_id").take(pa.array(w.text[first]))], names=["anchor", "doc_id"])
+            # an anchor of a text once, with the number of its passages
+            order = first[np.lexsort((w.best[first], w.text[first]))]
+            new = np.append(True, (w.best[order][1:] != w.best[order][:-1]) | (w.text[order][1:] != w.text[order][:-1]))[: len(order)]
+            at = np.nonzero(new)[0]
+            n = np.diff(np.append(at, len(order))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(w.best[order[at]].view(np.int64)), batch.column("doc_id").take(pa.array(w.text[order[at]])), pa.array(n)], names=["anchor", "doc_id", "n"])
 
     return run
 
@@ -145,14 +150,14 @@ def located(passages: list[bytes], owners: list[int], window: int) -> tuple[np.n
 
 
 def _owner_rows(window: int, most: int):
-    """Rows (shard, passage, owner, key, key2) sorted by shard -> (shard, key, key2, owners): for each window of the
+    """Rows (shard, passage, owner, key, key2) sorted by shard -> (key, key2, owners): for each window of the
     passage the smallest owner of a passage that holds it."""
 
     def put(held: list[list]) -> pa.RecordBatch:
-        shard, passage, owner, key, key2 = held
+        _, passage, owner, key, key2 = held
         counts, values = located(passage, owner, window)
         owners = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), owners], names=["shard", "key", "key2", "owners"])
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(key2, pa.int32()), owners], names=["key", "key2", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]
@@ -181,7 +186,8 @@ def _kept_rows(window: int, carry: tuple[str, ...]):
             text, start, end = words.single_spaced()
             value, row = _flat(pa.compute.if_else(pa.compute.is_null(batch.column("starts")), pa.scalar([], batch.column("starts").type), batch.column("starts")))
             edge = np.zeros(len(words.start) + 1, np.int64)
-            at = value.astype(np.int64) + words.first[row.astype(np.int64)]
+            value, row = value.astype(np.int64), row.astype(np.int64)
+            at = (value + words.first[row])[value + window <= words.count[row]]
             np.add.at(edge, at, 1)
             np.subtract.at(edge, at + window, 1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -205,22 +211,22 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, window: int = 13, anchor
     if not 0 < anchor <= window:
         raise ValueError("anchor must be between 1 and window")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("doc_id is not null and text is not null")
-    pairs = scratch.keep(texts.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long"), "pairs")
-    recurring = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    pairs = scratch.keep(texts.mapInArrow(_anchor_rows(window, anchor), "anchor long, doc_id long, n int"), "pairs")
+    recurring = pairs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi")
     recurring = scratch.keep(recurring.select("anchor", (F.col("n") > hot).alias("hot")), "recurring")
     lists = pairs.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     lists = scratch.keep(lists, "lists")
     scratch.drop("pairs")
     scratch.drop("recurring")
-    passages = texts.withColumn("version", F.xxhash64("text")).join(lists, "doc_id").mapInArrow(_passage_rows(window, anchor), "shard long, passage binary, doc_id long, version long, start int")
-    passages = scratch.keep(passages, "passages")
+    passages = texts.withColumn("version", F.hash("text")).join(lists, "doc_id").mapInArrow(_passage_rows(window, anchor), "shard long, passage binary, doc_id long, version int, start int")
+    passages = scratch.keep(passages, "passages", "zstd")
     scratch.drop("lists")
-    # 128 bits stand for a passage's words on the way back
-    keys = [F.xxhash64("passage").alias("key"), F.xxhash64(F.lit(7), "passage").alias("key2")]
+    # 96 bits stand for a passage's words, which tell its shard, on the way back
+    keys = [F.xxhash64("passage").alias("key"), F.hash("passage").alias("key2")]
     distinct = passages.groupBy("shard", "passage").agg(F.min("doc_id").alias("owner")).select("shard", "passage", "owner", *keys)
     distinct = distinct.repartition("shard").sortWithinPartitions("shard")
-    owners = distinct.mapInArrow(_owner_rows(window, AUTOMATON), "shard long, key long, key2 long, owners array<long>")
-    found = passages.select("shard", *keys, "doc_id", "version", "start").join(owners, ["shard", "key", "key2"])
+    owners = distinct.mapInArrow(_owner_rows(window, AUTOMATON), "key long, key2 int, owners array<long>")
+    found = passages.select(*keys, "doc_id", "version", "start").join(owners, ["key", "key2"])
     found = found.select("doc_id", "version", F.expr("filter(transform(owners, (o, i) -> if(o < doc_id, start + i, -1)), x -> x >= 0)").alias("at")).where("size(at) > 0")
     found = scratch.keep(found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list("at")).alias("starts")), "starts")
     scratch.drop("passages")
@@ -233,6 +239,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, anchor: int = 6, hot: int
     scratch = Scratch(docs.sparkSession, "repeats")
     starts = repeated_windows(docs, scratch, window, anchor, hot)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carry)
-    joined = texts.join(starts, (texts["doc_id"] == starts["doc_id"]) & (F.xxhash64(texts["text"]) == starts["version"]), "left").select(*[texts[c] for c in texts.columns], "starts")
+    joined = texts.join(starts, (texts["doc_id"] == starts["doc_id"]) & (F.hash(texts["text"]) == starts["version"]), "left").select(*[texts[c] for c in texts.columns], "starts")
     kinds = "".join(f", `{c}` {texts.schema[c].dataType.simpleString()}" for c in carry)
     return joined.mapInArrow(_kept_rows(window, carry), f"doc_id long, n_words long, n_removed long, kept_text string{kinds}")
