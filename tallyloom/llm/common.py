@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a session of one machine gets
+    a folder of our own; on a cluster that is an error, since no machine's folder is shared."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="tallyloom-"))
     return sc.getCheckpointDir()
 
 
@@ -31,7 +35,8 @@ class Scratch:
     """Tables written to the shared folder and read again: they cut lineage and outlive lost executors.
 
     The shuffle files of a write are removed when the table is complete, so that the disk holds one step's
-    shuffles at a time.
+    shuffles at a time.  Tables that results are still read from stay until the application ends, when the whole folder
+    goes.
     """
 
     _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -39,6 +44,14 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path, files = self._path("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, name: str):
+        """A table's path and its file system."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -52,8 +65,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Remove a table that no later step reads."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path(name)
+        files.delete(path, True)
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ proportion to the rows, so that the result is alike at every size.  All of it is
 shuffled but pattern counts.
 
 Nulls and odd cases: null and empty texts have no words, fail the base check and are not kept; repeated rows are judged
-each; a null id is kept as it is; an empty table gives an empty result; other columns are ignored.
+each; a null id is kept as it is; an empty table gives an empty result; other columns are
+kept, but for those with the names of measures, votes and verdicts, which are replaced.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ PRIOR_WEIGHT = 0.2
 ROUNDS = 15
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_capitals", "n_exclamations", "n_repeat_words")
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """docs(text, ...) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_capitals, n_exclamations and
     n_repeat_words (longs), each over the whole text."""
@@ -132,5 +136,7 @@ def judge(voted: DataFrame, model: dict) -> DataFrame:
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
-    measured = measures(docs)
-    return measured.select(*measured.columns, *votes())
+    """docs(text, ...) with the measures and a column vote_... for each rule; columns of these names in docs are replaced."""
+    made = {*MEASURES, *(f"vote_{n}" for n in RULES), "_words", "_lines", "_solid", "_h", "_w", "_s", "_p", "base_failed", "p_good", "kept"}
+    measured = measures(docs.select(*[c for c in docs.columns if c.lower() not in made]))
+    return measured.select("*", *votes())
