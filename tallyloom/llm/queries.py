@@ -120,7 +120,6 @@ _OP3 = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
            CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
            (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '-1')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
-r AS (SELECT *, u / (1 - u) / CASE WHEN size >= 50 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS rank FROM d),
 s0 AS (SELECT key, sum(size)::BIGINT AS source_size, (ARRAY[3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY key),
 s1 AS (SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / weight AS level, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM s0),
 s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -128,9 +127,17 @@ s2 AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY level, key ROWS BETWE
 w AS (SELECT arg_min(try, (level, key)) AS water FROM s2 WHERE try <= level),
 t AS (SELECT key, source_size, least(cap, coalesce(water * weight, cap)) AS target FROM s2 CROSS JOIN w),
 g AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS whole FROM t),
-o AS (SELECT r.*, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS "left",
+v AS (SELECT key, source_size, target, whole, target - whole * source_size AS "left" FROM g),
+k0 AS (SELECT d.key, CASE WHEN size >= 50 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS weight, sum(size)::BIGINT AS words, any_value("left") AS "left" FROM d JOIN v ON v.key = d.key GROUP BY 1, 2),
+k1 AS (SELECT *, ("left" - coalesce(sum(words) OVER (PARTITION BY key ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+       / nullif(sum(weight * words) OVER (PARTITION BY key ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS try FROM k0),
+k2 AS (SELECT key, arg_max(try, weight) AS c FROM k1 WHERE try * weight <= 1 GROUP BY key),
+k AS (SELECT k1.key, weight, least(1.0::DOUBLE, coalesce(c * weight, 0)) AS chance FROM k1 LEFT JOIN k2 ON k2.key = k1.key),
+r AS (SELECT d.*, CASE WHEN chance < 1 THEN u / (1 - u) / (greatest(chance, 1e-9::DOUBLE) / (1 - chance)) ELSE 0 END AS rank
+      FROM d JOIN k ON k.key = d.key AND k.weight = CASE WHEN size >= 50 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END),
+o AS (SELECT r.*, g.source_size, g.target, g.whole, g."left",
       coalesce(sum(size) OVER (PARTITION BY r.key ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-      FROM r JOIN g ON g.key = r.key),
+      FROM r JOIN v g ON g.key = r.key),
 q AS (SELECT *, before + size <= "left" AS drawn FROM o),
 gap AS (SELECT key, any_value("left") - coalesce(sum(size) FILTER (drawn), 0) AS gap FROM q GROUP BY key),
 last AS (SELECT q.key, arg_min(before, (abs(size - gap), before)) AS last FROM q JOIN gap ON gap.key = q.key

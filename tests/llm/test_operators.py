@@ -183,6 +183,24 @@ def test_mixing(docs, texts, none):
     assert source_mixing.mix(none).count() == 0
 
 
+def test_mixing_includes_by_weight(spark):
+    """Documents of a weight are taken as often as their inclusion probabilities say, which add up to the target; many
+    sources, ranges of a few ranks, repeated rows."""
+    rows = [(i, f"s{i % 40:02}", "w " * (60 if i % 3 else 20)) for i in range(2400)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, source string, text string")
+    taken, n = {60: 0, 20: 0}, 4
+    for seed in range(n):
+        got = source_mixing.mix(df, weights=(1,), share=0.6, seed=f"s{seed}", range_rows=16).collect()
+        words = {}
+        for r in got:
+            taken[r["size"]] += r.copies
+            words[r.source] = words.get(r.source, 0) + r.taken
+        assert len(got) == 2401 and all(abs(w - r.target) <= 30 for r in got for w in [words[r.source]])
+    # of a source with 40 long and 20 short documents: c (40 * 60 + 0.5 * 20 * 20) = 0.6 * 2800
+    c = 0.6 * 2800 / 2600
+    assert taken[60] / n / 1600 == pytest.approx(c, abs=0.03) and taken[20] / n / 800 == pytest.approx(c / 2, abs=0.06)
+
+
 def test_url_filter(spark):
     urls = [None, "", "nothing", "http://A.com", "https://www.example.com/en/a?x", "http://a.example.com/en/", "http://b.net/es/x#y", "http://notcom/", "ftp://b.net?x=/es/", "http://hub.org/"]
     html = [None] * 9 + ['<a href="http://b.net/es/x">x</a>']

@@ -161,9 +161,18 @@ def test_mixture(steps):
         whole = int(target[k] // words[k])
         rest = target[k] - whole * words[k]
 
+        long, short = (sum(n for _, n in by_source[k] if (n >= 50) == x) for x in (True, False))
+        c = rest / (long + 0.5 * short) if long + short else 0
+        if c > 1:
+            c = (rest - long) / (0.5 * short)
+            chance = lambda n, c=c: 1.0 if n >= 50 else 0.5 * c
+        else:
+            chance = lambda n, c=c: max(1e-9, c * (1.0 if n >= 50 else 0.5))
+
         def rank(row):
             u = (int(hashlib.md5(f"mix:{row[0][0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2.0**52
-            return u / (1 - u) / (1.0 if row[1] >= 50 else 0.5), row[0][0]
+            p = chance(row[1])
+            return u / (1 - u) / (p / (1 - p)) if p < 1 else 0.0, row[0][0]
 
         before, drawn, other = 0, [], []
         for d, n in sorted(by_source[k], key=rank):
