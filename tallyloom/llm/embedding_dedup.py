@@ -91,9 +91,10 @@ def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, threshold: float, same: bool, step: int = 16, chunk: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indices (i, j) with cosine >= threshold, `chunk` rows of a at a time; a, b: unit vectors, ra, rb: the same on the
-    principal axes; same: a is b, and only i < j."""
+    """Indices (i, j) with cosine >= threshold, `chunk` rows of a at a time; a, b: vectors, ra, rb: unit vectors of
+    the same directions on the principal axes; same: a is b, and only i < j."""
     d = ra.shape[1]
+    qa, qb = (np.einsum("ij,ij->i", x, x) for x in (a, b))
     slack = 1e-4  # of single precision
     lb = rb[:, :step].astype(np.float32).T.copy()
     tails = {lo: tuple(np.sqrt((r[:, lo:] ** 2).sum(1)) for r in (ra, rb)) for lo in range(step, d + step, step)}
@@ -117,7 +118,11 @@ def linked_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, t
             k = np.concatenate(keep)
             i, j = i[k], j[k]
         if len(i):
-            k = np.concatenate([np.einsum("ij,ij->i", a[i[at : at + (1 << 16)]], b[j[at : at + (1 << 16)]]) >= threshold for at in range(0, len(i), 1 << 16)])
+            keep = []
+            for at in range(0, len(i), 1 << 16):
+                p, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                keep.append(np.einsum("ij,ij->i", a[p], b[q]) / np.sqrt(qa[p] * qb[q]) >= threshold)
+            k = np.concatenate(keep)
             yield i[k], j[k]
 
 
@@ -139,8 +144,10 @@ def _pair_rows(axes: dict[int, np.ndarray], threshold: float, kind: str):
     """Rows (pair, side, dim, reps, counts, vectors) sorted by pair and side; a tile paired with itself has one row."""
 
     def load(dim: int, reps: bytes, counts: bytes, vectors: bytes):
-        x = unit(np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64))
-        return np.frombuffer(reps, np.int64), np.frombuffer(counts, np.int64), x, x @ axes[dim] if dim in axes else x
+        x = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
+        x = np.ldexp(x, -np.frexp(abs(x).max(1, keepdims=True))[1])  # by powers of two, which leaves cosines as they are
+        u = unit(x)
+        return np.frombuffer(reps, np.int64), np.frombuffer(counts, np.int64), x, u @ axes[dim] if dim in axes else u
 
     def put(left: tuple, right: tuple | None) -> pa.RecordBatch | None:
         ia, na, a, ra = left
