@@ -9,6 +9,8 @@ import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
+#: Bytes of text hashed at a time.
+CHUNK = 1 << 18
 
 
 class WordHash(dict):
@@ -100,8 +102,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2 ** 64, and their inverses, kept for the usual size."""
     if _POWERS and len(_POWERS[0]) >= n:
         return _POWERS[0], _POWERS[1]
-    size = max(n, (4 << 20) + 4096)
+    size = max(n, CHUNK + 4096)
     made = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, b, np.uint64))) for b in (BASE, pow(BASE, -1, MASK + 1))]
-    if size <= 8 << 20:
+    if size <= 8 * CHUNK:
         _POWERS[:] = made
     return made[0], made[1]

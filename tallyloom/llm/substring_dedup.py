@@ -37,7 +37,7 @@ from tallyloom.llm.hashing import Words, grams, mix
 
 #: Windows that one automaton holds, about; one shard is not divided.  Small ones stay in the processor's cache.
 AUTOMATON = 2_000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def anchors(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
