@@ -16,7 +16,7 @@ def countable(raw: Column) -> Column:
     """A page's text without fenced code, raw HTML, level-1 headings, hidden blocks and captions."""
     c = raw
     for pattern in (r"(?s)\A---\n.*?\n---\n", r"(?ms)^```.*?^```[^\n]*$", r"(?s)<(script|style)\b.*?</\1>", r"(?ms)^:::\s*\{[^}]*\.hidden[^}]*\}.*?^:::\s*$", r"(?m)^#\s[^\n]*$", r"(?m)^:\s[^\n]*$", r"<[^>]*>"):
-        c = F.regexp_replace(c, pattern, " ")
+        c = F.regexp_replace(c, pattern, "\n")
     return c
 
 

@@ -11,7 +11,7 @@ from tallyloom.plans.register import query, table
 
 def _replaced(of: str, *patterns: str) -> str:
     for p in patterns:
-        of = f"regexp_replace({of}, '{p}', ' ', 'g')"
+        of = f"regexp_replace({of}, '{p}', chr(10), 'g')"
     return of
 
 

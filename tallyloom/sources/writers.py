@@ -27,8 +27,9 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 def json_document(df: DataFrame, key: str, entry: str) -> DataFrame:
     """One pretty-printed JSON object of (key, entry as JSON), for small results."""
-    pair = F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, F.from_json(entry, "map<string,string>").alias("v")))))
-    return df.agg(F.to_json(pair, {"pretty": "true"}).alias("value"))
+    sorted_rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(entry).alias("e"))))
+    pairs = F.map_from_entries(F.transform(sorted_rows, lambda r: F.struct(r["k"], F.from_json(r["e"], "map<string,string>"))))
+    return df.agg(F.to_json(pairs, {"pretty": "true"}).alias("value"))
 
 
 def text(files: DataFrame, root: str) -> None:
