@@ -102,7 +102,9 @@ def xmr_signals(spark, sf_dir):
 )
 def xmr_pair_extended(spark, sf_dir):
     s = event_series(spark, sf_dir)
-    half = s.join(s.groupBy("series_id").agg(F.floor(F.max("t") / 2).alias("k")), "series_id").withColumn("half", F.when(F.col("t") <= F.col("k"), 1).otherwise(2))
+    # lengths from the events themselves, which need no order
+    lengths = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id")).agg(F.floor(F.count(F.lit(1)) / 2).alias("k"))
+    half = s.join(lengths, "series_id").withColumn("half", F.when(F.col("t") <= F.col("k"), 1).otherwise(2))
     chart = limits.individuals(half.where("half = 1"), ["series_id"])
     return rounded(limits.signals(half.select("series_id", "t", "half", "value"), chart, ["series_id"]))
 
