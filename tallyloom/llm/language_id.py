@@ -59,7 +59,7 @@ def codewords(n: int, bits: int, seed: int = 7) -> np.ndarray:
     return best
 
 
-def train(at: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, n: int, bits: int, rounds: int = 30, rate: float = 0.5, decay: float = 1e-4, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(at: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, n: int, bits: int, rounds: int = 30, rate: float = 0.03, decay: float = 1e-3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, bias, codewords) of logistic bit classifiers by AdaGrad over mini-batches of sparse rows (at, value);
     languages weigh the same in total."""
     code = codewords(n, bits)
