@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
@@ -13,23 +12,6 @@ MASK = (1 << 64) - 1
 CHUNK = 1 << 18
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes); keeps the first `limit` words it meets, hashes others each time."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < self.limit:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -51,12 +33,14 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a batch of texts (a binary array; null: none), as places in one buffer: word i
-    is data[start[i]:end[i]], text k has the words first[k] to first[k + 1].  Vectorised over the batch's bytes."""
+    is data[start[i]:end[i]], text k has the words first[k] to first[k + 1]; lower: A-Z are lower-cased.  Vectorised over the batch's bytes."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         texts = pc.fill_null(texts, b"").cast(pa.binary())
         edge = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+        if lower:
+            self.data = _LOWER[self.data]
         self.edge = edge - edge[0]
         self.space = (self.data == 32) | (self.data - np.uint8(9) < 5)
         inner = np.zeros(len(self.data) + 1, bool)
@@ -95,6 +79,8 @@ class Words:
         return np.where(self.space, np.uint8(32), self.data)[kept].tobytes(), place[self.start], place[self.end]
 
 
+#: A-Z to a-z.
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 _POWERS: list[np.ndarray] = []
 
 

@@ -39,10 +39,9 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import Scratch, by_bytes
 from tallyloom.llm.components import components
-from tallyloom.llm.hashing import MASK, WordHash, grams, mix
+from tallyloom.llm.hashing import MASK, Words, grams, mix
 
-_CACHE = WordHash()
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Open pairs are made at once in buckets with so many a member or fewer: in those of bands, and in divided ones, where
 #: the places of the shared shingle settle most pairs before they are made.
 FEW, FEW_DIVIDED = 4, 64
@@ -51,10 +50,13 @@ TURNS = 8
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles."""
-    h = _CACHE.of(text.lower().split())
-    return np.unique(grams(h, min(k, len(h)))) if len(h) else np.empty(0, np.uint64)
+def shingles(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """For each text of a binary array the sorted distinct hashes of its k-word shingles, or of all its fewer words."""
+    words = Words(texts, lower=True)
+    h = words.hashes()
+    every = grams(h, k)
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        yield np.unique(every[a : b - k + 1]) if b - a >= k else grams(h[a:b], b - a) if b > a else np.empty(0, np.uint64)
 
 
 def superminhash(elements: np.ndarray, m: int) -> np.ndarray:
@@ -95,8 +97,7 @@ def _signature_rows(k: int, bands: int, rows: int):
         salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * GOLDEN
         for batch in by_bytes(batches, "text", BATCH_BYTES):
             sizes, keys, sigs = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text or b"", k)
+            for s in shingles(batch.column("text"), k):
                 sizes.append(len(s))
                 if not len(s):
                     keys.append(None)
@@ -116,7 +117,7 @@ def _signature_rows(k: int, bands: int, rows: int):
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", BATCH_BYTES):
-            sets = [shingles(t, k).view(np.int64) for t in batch.column("text").to_pylist()]
+            sets = [s.view(np.int64) for s in shingles(batch.column("text"), k)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return run

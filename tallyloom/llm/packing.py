@@ -187,7 +187,7 @@ def _merge_rows(size: int, open_windows: int, cut: int, turn: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, file: str, end: int = 0, size: int = 1024, open_windows: int = 64, cut: int = 1, fan_in: int = 64, batch_bytes: int = 8 << 20, remember: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, file: str, end: int = 0, size: int = 1024, open_windows: int = 64, cut: int = 1, fan_in: int = 64, batch_bytes: int = 4 << 20, remember: int = 200_000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): the pieces of docs(doc_id, text).
 
     cut: the fewest tokens of room that a document is cut for when it fits no open window; 0: never, such windows are

@@ -206,7 +206,7 @@ def _count_rows(file: str, batch_bytes: int, call_bytes: int, remember: int):
     return run
 
 
-def count_tokens(docs: DataFrame, file: str, batch_bytes: int = 8 << 20, call_bytes: int = 64 << 10, remember: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, file: str, batch_bytes: int = 4 << 20, call_bytes: int = 64 << 10, remember: int = 300_000) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) for every row of docs(doc_id, text); no shuffle.  See the module's docstring."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
