@@ -110,7 +110,7 @@ def discover(segments: DataFrame, seed: list[tuple[str, str]], min_freq: int = 5
     known = sorted({" ".join(x.replace("-", " ").lower().split()) for t, a in seed for x in (t, *(a or "").split("|"))} | {e.lower() for e in exclusions})
     fresh = counted(grams, min_freq)
     if known:
-        fresh = fresh.join(F.broadcast(segments.sparkSession.createDataFrame([(k,) for k in known], "term string")), "term", "left_anti")
+        fresh = fresh.join(segments.sparkSession.createDataFrame([(k,) for k in known], "term string"), "term", "left_anti")
     return without_nested(fresh)
 
 
