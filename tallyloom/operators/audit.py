@@ -124,6 +124,29 @@ def violations(links: DataFrame, defined: DataFrame) -> DataFrame:
     return links.join(defined.select("target_file", "anchor").distinct(), ["target_file", "anchor"], "left_anti")
 
 
+def section_violations(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """Links to #sec-... anchors that are wrong, with reasons: a page's anchor without a path (the same ids come back in
+    every folder), a target that is not among files(source_file), an anchor that its target does not define."""
+    found = extract_matches(lines, r"\]\(([^()#]*)#(sec-[A-Za-z0-9_-]+)\)", ["path", "anchor"]).where(~F.col("path").rlike("^https?://"))
+    bare = F.col("path") == ""
+    target = F.when(bare, F.col("source_file")).otherwise(T.resolved(T.directory(F.col("source_file")), F.col("path")))
+    found = found.select("source_file", "source_line", "match", target.alias("target_file"), "anchor", (bare & F.col("anchor").rlike("^sec-page[0-9]+$")).alias("bare"))
+    defined = extract_matches(lines, r"\{#([A-Za-z0-9_-]+)(?:\s[^}]*)?\}", ["anchor"]).select(F.col("source_file").alias("target_file"), "anchor", F.lit(True).alias("defined")).distinct()
+    there = files.select(F.col("source_file").alias("target_file"), F.lit(True).alias("exists")).distinct()
+    met = found.join(there, "target_file", "left").join(defined, ["target_file", "anchor"], "left")
+    missing = F.col("exists").isNull()
+    reasons = F.filter(F.array(F.when(F.col("bare"), "path needed"), F.when(missing, "no such file"), F.when(~missing & F.col("defined").isNull(), "no such anchor")), lambda r: r.isNotNull())
+    return met.select("source_file", "source_line", "match", "target_file", "anchor", reasons.alias("reasons")).where(F.size("reasons") > 0)
+
+
+def bound(*tables: DataFrame) -> DataFrame:
+    """Rows of several tables one below the other, by name; what a table lacks is null (U1)."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def with_links(df: DataFrame, pattern: str, target: str, text: str = "text") -> DataFrame:
     """Unlinked occurrences of a pattern wrapped as links; those inside links stay."""
 

@@ -200,6 +200,12 @@ def site_map(pages: DataFrame, base: str) -> DataFrame:
     return pages.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "path", line.alias("line")))), lambda s: s["line"]), "\n").alias("bullets"))
 
 
+def stale(made: DataFrame, current: DataFrame, key: str = "part", text: str = "bullets") -> DataFrame:
+    """Keys whose published text is not the one made now: missing, left over or different."""
+    both = made.select(key, F.col(text).alias("_a")).join(current.select(key, F.col(text).alias("_b")), key, "full")
+    return both.where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key)
+
+
 def orphans(pages: DataFrame, listed: DataFrame) -> DataFrame:
     """Paths that no listing names (U4)."""
     return pages.select("path").subtract(listed.select("path"))

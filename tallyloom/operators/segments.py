@@ -116,24 +116,58 @@ def reinject(files: DataFrame, segments: DataFrame) -> DataFrame:
     return files.select("path", "text").join(per, "path", "left").mapInPandas(run, "path string, text string")
 
 
-PROTECTED = re.compile(r"`[^`]+`|\$[^$]+\$|\{\{<.*?>\}\}|\{[#.][^}]*\}|\[[^\]]*\]\([^)]*\)|<[^>]+>|@[A-Za-z][\w-]*")
-
-
-def masked(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds masked (protected parts as private-use characters) and kept (those parts in order)."""
+# What is protected inside prose, in the order in which it is looked for.
+PROTECTED = {
+    "shortcode": r"\{\{<.*?>\}\}",
+    "math_display": r"(?s)\$\$.+?\$\$",
+    "math_inline": r"(?<!\$)\$(?!\$)[^$\n]+?\$(?!\$)",
+    "inline_code": r"(`+)[^`]*?\1",
+    "citation": r"\[(?:[^\]]*?@[^\]]+?)\]",
+    "xref": r"@[A-Za-z][A-Za-z0-9_:.-]*",
+    "span_lang": r"<span\s+lang=[\"']?[a-z-]+[\"']?\s*>.*?</span>",
+    "dfn": r"<dfn\s+id=[\"'][^\"']+[\"']\s*>.*?</dfn>",
+    "html_label_tag": r"</?(?:summary|button)\b[^>]*>",
+    "rellink_day": r"\[[^\]]*\]\(\.\.\/(?:days\/)?day-\d{2}\/[^)]*?#sec-page\d+\)",
+    "inline_attr": r"\[[^\]]*\]\{#sec-page\d+\}",
+    "sec_anchor": r"#sec-page\d+",
+}
+FIELD = re.compile(r"^([A-Za-z_][A-Za-z0-9_.-]*:[ \t]+[\"']?)(.*?)([\"']?)[ \t]*$")
+OPEN, CLOSE = "\ue000", "\ue001"
+
+
+def protect(text: str, field: bool = False) -> tuple[str, list[str]]:
+    """A text with its protected parts as numbered tokens between private-use characters, and those parts in order.
+    Such characters in the text itself are protected first; field: what is around the value of a front-matter line is
+    protected too."""
+    kept: list[str] = []
+
+    def token(part: str) -> str:
+        kept.append(part)
+        return f"{OPEN}PH{len(kept)}{CLOSE}"
+
+    text = re.sub(f"[{OPEN}{CLOSE}]", lambda m: token(m[0]), text)
+    if field and (m := FIELD.match(text)):
+        text = token(m[1]) + m[2] + (token(m[3]) if m[3] else "") + (token(text[m.end(3) :]) if m.end(3) < len(text) else "")
+    for pattern in PROTECTED.values():
+        p = re.compile(pattern)
+        while m := p.search(text):
+            text = text[: m.start()] + token(m[0]) + text[m.end() :]
+    return text, kept
+
+
+def masked(df: DataFrame, text: str = "text", field: bool = False) -> DataFrame:
+    """Adds masked (protected parts as tokens) and kept (those parts in order)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = [PROTECTED.findall(t) if t is not None else None for t in pdf[text]]
-            shown = [PROTECTED.sub("\ue000", t) if t is not None else None for t in pdf[text]]
-            yield pdf.assign(masked=shown, kept=kept)
+            both = [protect(t, field) if isinstance(t, str) else (None, None) for t in pdf[text]]
+            yield pdf.assign(masked=[m for m, _ in both], kept=[k for _, k in both])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{schema}, masked string, kept array<string>")
 
 
 def unmasked(df: DataFrame) -> DataFrame:
-    """masked and kept back to text, as built-in expressions."""
-    parts = F.split("masked", "\ue000")
-    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("kept"), i), F.lit("")))), "")
-    return df.withColumn("restored", joined)
+    """masked and kept back to text, as built-in expressions; the last token first, since parts may hold earlier ones."""
+    last_first = F.reverse(F.transform("kept", lambda part, i: F.struct(F.concat(F.lit(f"{OPEN}PH"), (i + 1).cast("string"), F.lit(CLOSE)).alias("token"), part.alias("part"))))
+    return df.withColumn("restored", F.aggregate(last_first, F.col("masked"), lambda out, t: F.replace(out, t["token"], t["part"])))

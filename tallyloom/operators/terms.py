@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators.segments import extract
 
 # Words that no mined term holds, and words that may join a capitalised run.
 STOPWORDS = (
@@ -30,6 +31,11 @@ def occurrence_type(kind: Column) -> Column:
     )
 
 
+def corpus_segments(files: DataFrame) -> DataFrame:
+    """files(path, text) -> segments (text, kind, occurrence_type, file, start_line) of all of them."""
+    return extract(files).select("text", "kind", occurrence_type(F.col("kind")).alias("occurrence_type"), "file", "start_line")
+
+
 def match_terms(segments: DataFrame, seed: list[tuple[str, str]], contexts: int = 3) -> DataFrame:
     """(ord, term, frequency, occurrence_types, contexts): for each (term, aliases) in order, matches in all segments.
 

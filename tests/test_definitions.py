@@ -103,20 +103,20 @@ def test_occurrence_types(spark):
 
 
 def test_ngrams_and_discovery(spark):
-    texts = ["Profound knowledge, system thinking and profound knowledge"] * 5 + ["Deming Prize Winner of the deadly diseases"] * 5
+    texts = ["Profound knowledge, system thinking and profound knowledge"] * 5 + ["Grand Prize Winner of the deadly diseases"] * 5
     got = {r.term: (r.frequency, r.display) for r in terms.counted(terms.candidate_grams(made_segments(spark, *texts))).collect()}
     assert got["profound knowledge"] == (10, "Profound knowledge") and got["deadly diseases"][0] == 5
     assert "knowledge system" not in got and "thinking and profound" not in got
     found = {r.term for r in terms.discover(made_segments(spark, *texts), [("profound-knowledge", None)]).collect()}
-    assert "profound knowledge" not in found and {"system thinking", "deming prize winner"} <= found
-    assert "deming prize" not in found and "prize winner" not in found  # inside a longer one, as often
+    assert "profound knowledge" not in found and {"system thinking", "grand prize winner"} <= found
+    assert "grand prize" not in found and "prize winner" not in found  # inside a longer one, as often
     drafted = terms.draft(made_segments(spark, *texts), [("profound-knowledge", None)]).collect()
     assert [(r.term, r.frequency, r.source) for r in drafted][0] == ("profound-knowledge", 10, "seed")
     assert [-r.frequency for r in drafted] == sorted(-r.frequency for r in drafted)
 
 
 def test_capitalised_runs(spark):
-    got = [r.display for r in terms.capitalised_runs(made_segments(spark, "the System of Profound Knowledge and of Joy in Work here, Out of the Crisis")).collect()]
+    got = [r.display for r in terms.capitalised_runs(made_segments(spark, "the System of Profound Knowledge and of Joy in Work here, Out of the Woods")).collect()]
     assert got == ["System of Profound Knowledge"]  # a connector stands right before a capitalised word; three words are too few
 
 
@@ -195,6 +195,8 @@ def test_site(spark):
     assert [tuple(r) for r in documents.page_index(files).collect()] == [("content/01-a.qmd", 0, 1, "A"), ("content/02-b-page3.qmd", 3, 2, "B"), ("z.qmd", 0, 999, "z.qmd")]
     pages = spark.createDataFrame([("p", 2, "b.qmd", "B"), ("p", 1, "a.qmd", "A")], "part string, ord int, path string, title string")
     assert documents.site_map(pages, "/site/").first().bullets == "- [A](/site/a.html)\n- [B](/site/b.html)"
+    current = spark.createDataFrame([("p", "old"), ("q", "gone")], "part string, bullets string")
+    assert sorted(r.part for r in documents.stale(documents.site_map(pages, "/site/"), current).collect()) == ["p", "q"]
     assert [r.path for r in documents.orphans(pages, pages.where("ord = 1")).collect()] == ["b.qmd"]
     entries = spark.createDataFrame([("Other", 1, "o"), ("Fixed", 2, "f2"), ("Fixed", 1, "f1"), ("Added", 1, "a")], "section string, ord int, entry string")
     assert [tuple(r) for r in documents.changelog(entries, ["Added", "Changed", "Fixed"]).orderBy("place").collect()] == [(1, "Added", "- a"), (2, "Fixed", "- f1\n- f2"), (3, "Other", "- o")]
@@ -231,16 +233,28 @@ def test_segments_round_trip(spark):
 
 
 def test_masking(spark):
-    text = "See `x <- 1`, $a+b$, {{< meta x >}}, [a](b.qmd) and @cite; plain."
-    r = segments.unmasked(segments.masked(spark.createDataFrame([(text,), (None,)], "text string"))).collect()
-    assert r[0].restored == text and "`" not in r[0].masked and len(r[0].kept) == 5
+    texts = [
+        "See `x <- 1`, $a+b$, $$c$$, {{< meta x >}}, [@cite `k`] and @fig-x; plain.", "<span lang=fr>mot</span> <dfn id='a'>b</dfn> <button type=x>c</button>", "[p](../day-02/x.qmd#sec-page3) [q]{#sec-page4} #sec-page5",
+        "\ue000PH1\ue001 `\ue000`", "", "no parts", "``a`b``",
+    ]
+    rows = segments.unmasked(segments.masked(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"))).collect()
+    assert [r.restored for r in rows] == [*texts, None]
+    assert all(c not in rows[0].masked for c in "`$@{") and len(rows[0].kept) == 7 and [len(r.kept) for r in rows[1:3]] == [4, 3]
+    title = segments.unmasked(segments.masked(spark.createDataFrame([('title: "A `page`"  ',)], "text string"), field=True)).first()
+    assert title.restored == 'title: "A `page`"  ' and "title" not in title.masked
+
+
+def test_corpus_segments(spark):
+    files = spark.createDataFrame([("a.qmd", PAGE), ("b.R", 'x <- "two words"')], "path string, text string")
+    got = {(r.kind, r.occurrence_type) for r in terms.corpus_segments(files).collect()}
+    assert got == {("yaml_value", "yaml"), ("prose", "prose"), ("r-string", "r"), ("ui-string", "ui"), ("aria-label", "ui")}
 
 
 # references
 
 LINES = [
     ("content/day-01/a.qmd", 1, "---"), ("content/day-01/a.qmd", 2, "title: page 9"), ("content/day-01/a.qmd", 3, "---"), ("content/day-01/a.qmd", 4, "## One {#sec-page3}"),
-    ("content/day-01/a.qmd", 5, "See Day 2 page 7 and [Day 1 page 3](x), also Appendix page 4 and Day 3 overall."), ("content/day-01/a.qmd", 6, "On pages 3-4 and page 99; [page 3](#sec-page3). Out of the Crisis page 12."),
+    ("content/day-01/a.qmd", 5, "See Day 2 page 7 and [Day 1 page 3](x), also Appendix page 4 and Day 3 overall."), ("content/day-01/a.qmd", 6, "On pages 3-4 and page 99; [page 3](#sec-page3). Out of the Woods page 12."),
     ("content/day-01/a.qmd", 7, "```"), ("content/day-01/a.qmd", 8, "page 3 in code"), ("content/day-01/a.qmd", 9, "```"), ("content/day-02/b.qmd", 1, "{#sec-page7}"), ("content/day-02/c.qmd", 1, "{#sec-page7} [up](../day-01/a.qmd#sec-page3) [gone](b.qmd#sec-page8)"),
     ("content/appendix/x.qmd", 1, "{#sec-page4}"),
 ]
@@ -262,7 +276,7 @@ def test_anchors_and_references(lines):
 
 
 def test_bare_references(lines):
-    rows = audit.bare_references(lines, audit.anchors(lines), ("Out of the Crisis",), 20).collect()
+    rows = audit.bare_references(lines, audit.anchors(lines), ("Out of the Woods",), 20).collect()
     got = sorted((r.source_line, r.match, r.page, r.status, r.is_range) for r in rows)
     assert got == [(6, "page 12", 12, "external", False), (6, "page 99", 99, "unknown", False), (6, "pages 3-4", 3, "internal", True)]
 
@@ -272,6 +286,14 @@ def test_integrity(lines, spark):
     assert {(r.target_file, r.anchor) for r in links.collect()} == {("content/day-01/a.qmd", "sec-page3"), ("content/day-02/b.qmd", "sec-page8")}
     defined = audit.extract_matches(lines, audit.ANCHOR, ["page"]).select(F.col("source_file").alias("target_file"), F.concat(F.lit("sec-page"), "page").alias("anchor"))
     assert [r.anchor for r in audit.violations(links, defined).collect()] == ["sec-page8"]
+    files = lines.select("source_file").distinct()
+    more = lines.unionByName(spark.createDataFrame([("content/day-02/c.qmd", 2, "[x](none.qmd#sec-page1) [y](https://x.org/#sec-page1) [z](#sec-extra)")], lines.schema))
+    wrong = {(r.target_file, r.anchor): r.reasons for r in audit.section_violations(more, files).collect()}
+    assert wrong == {
+        ("content/day-01/a.qmd", "sec-page3"): ["path needed"], ("content/day-02/b.qmd", "sec-page8"): ["no such anchor"], ("content/day-02/none.qmd", "sec-page1"): ["no such file"], ("content/day-02/c.qmd", "sec-extra"): ["no such anchor"],
+    }
+    both = audit.bound(files, spark.createDataFrame([(1,)], "n int"))
+    assert both.columns == ["source_file", "n"] and both.where("n is null").count() == files.count()
     swept = audit.with_links(spark.createDataFrame([("Day 1 and [Day 1](x)",), (None,)], "text string"), "Day [0-9]", "d.qmd").collect()
     assert [r.text for r in swept] == ["[Day 1](d.qmd) and [Day 1](x)", None]
     assert [r.source_line for r in audit.fuzzy_sample(lines).collect()] == [5]
