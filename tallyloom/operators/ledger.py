@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from tallyloom.operators.series import capped_gaps
 
@@ -17,9 +18,18 @@ TICK_CAP_MS, IDLE_MS = 7_500, 60_000
 ACTIVE_MS, DAYS, ACTS, DISMISSALS, COOLDOWN_DAYS = 30 * 60_000, 2, 1, 2, 45
 
 
+def epoch_ms(events: DataFrame, ts: str) -> Column:
+    """Milliseconds since 1970: rounded, halves away from 0, as DuckDB 2.0's epoch_ms does.  A time without a zone
+    counts as it reads, whatever the session's zone."""
+    if isinstance(events.schema[ts].dataType, TimestampNTZType):
+        seconds = (F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(18,6)")
+        return (F.round(seconds, 3) * 1000).cast("long")
+    return F.call_function("div", F.round(F.unix_micros(F.col(ts).cast("timestamp")), -3), F.lit(1000))
+
+
 def active_time(events: DataFrame, keys: list[str], ts: str, order: list[str], cap_ms: int = TICK_CAP_MS, idle_ms: int = IDLE_MS) -> DataFrame:
-    """(keys..., active_ms): time between ticks, capped, none over idle gaps."""
-    ticks = capped_gaps(events, keys, order, F.unix_millis(F.col(ts).cast("timestamp")), cap_ms, idle_ms)
+    """(keys..., active_ms): time between ticks, each rounded to a millisecond, capped, none over idle gaps."""
+    ticks = capped_gaps(events, keys, order, epoch_ms(events, ts), cap_ms, idle_ms)
     return ticks.groupBy(*keys).agg(F.sum("active_ms").alias("active_ms"))
 
 
