@@ -33,3 +33,14 @@ def test_active_time_query(spark, tmp_path):
     rows = [(2 * i, start + timedelta(hours=i, microseconds=us), 1, "view", 1.0, None) for i, us in enumerate((499, 500, 1_499, 1_600))]
     spark.createDataFrame(rows, EVENT_SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in registry.QUERIES["active_time"](spark, str(tmp_path)).select("user_id", "device", "active_ms").collect()] == [(1, 0, 3 * 3_600_000 + 2)]
+
+
+def merged_rows(spark, folder):
+    return [tuple(r) for r in registry.QUERIES["ledger_merge"](spark, str(folder)).select("user_id", "first_seen", "n_days", "n_chapters", "max_day", "acts", "active_ms").collect()]
+
+
+def test_ledger_merge_query(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(2 * i, start + timedelta(minutes=110 * i, microseconds=us), 1, "purchase", 1.0, None) for i, us in enumerate((499, 500, 1_499, 1_600))]
+    spark.createDataFrame(rows, EVENT_SCHEMA).write.parquet(f"{tmp_path}/events.parquet")
+    assert merged_rows(spark, tmp_path) == [(1, "2024-01-01", 1, 3, 7, 4, 3 * 6_600_000 + 2)]
