@@ -27,6 +27,15 @@ def epoch_ms(events: DataFrame, ts: str) -> Column:
     return F.call_function("div", F.round(F.unix_micros(F.col(ts).cast("timestamp")), -3), F.lit(1000))
 
 
+def date_text(events: DataFrame, ts: str) -> Column:
+    """The date as yyyy-MM-dd, a year outside 0 to 9999 as a bare number, as DuckDB's strftime does.  A time without a
+    zone counts as it reads, even where the session's zone left that day out."""
+    ntz = isinstance(events.schema[ts].dataType, TimestampNTZType)
+    date = F.col(ts).cast("date") if ntz else F.col(ts).cast("timestamp").cast("date")
+    text, year = date.cast("string"), F.year(date)
+    return F.when(year.between(0, 9999), text).otherwise(F.concat(year.cast("string"), F.right(text, F.lit(6))))
+
+
 def active_time(events: DataFrame, keys: list[str], ts: str, order: list[str], cap_ms: int = TICK_CAP_MS, idle_ms: int = IDLE_MS) -> DataFrame:
     """(keys..., active_ms): time between ticks, each rounded to a millisecond, capped, none over idle gaps."""
     ticks = capped_gaps(events, keys, order, epoch_ms(events, ts), cap_ms, idle_ms)
@@ -44,7 +53,7 @@ def state(events: DataFrame, user: str, device: str, ts: str, day: Column, chapt
     the dates of visits, chapters the keys D.C of pages with a day and a chapter, both sorted; max_day is 0 without a
     page of a day."""
     key = F.when(day.isNotNull() & chapter.isNotNull(), F.concat_ws(".", day.cast("string"), chapter.cast("string")))
-    date = F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd")
+    date = date_text(events, ts)
     return events.groupBy(user, device).agg(
         F.min(date).alias("first_seen"), F.sort_array(F.collect_set(date)).alias("days"), F.sort_array(F.collect_set(key)).alias("chapters"), F.coalesce(F.max(day), F.lit(0)).alias("max_day"), F.count_if(act).alias("acts")
     )

@@ -55,3 +55,21 @@ def test_ledger_merge_without_keys(spark, tmp_path):
     con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     want = [(1, "2024-01-01", 1, 1, 2, 2, 3_600_000), (4, "2024-01-01", 1, 2, 5, 0, 7_200_000)]
     assert sorted(con.execute(registry.ORACLES["ledger_merge"]).fetchall()) == sorted(merged_rows(spark, tmp_path)) == want
+
+
+def test_dates_as_sql_has_them(spark, tmp_path):
+    """A day that the session's zone left out, and years that are not of four digits."""
+    con = duckdb.connect()
+    times = ["2011-12-29 23:59:59", "2011-12-30 00:00:00", "2011-12-30 12:00:00", "2011-12-31 00:00:00", "10000-01-02 03:04:05", "0999-12-31 00:00:00", "0002-03-04 (BC) 05:06:07", "0001-03-04 (BC) 05:06:07", None]
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    con.executemany("insert into events values (?, ?::timestamp, ?, 'view', 1.0, null)", [(i, t, u) for i, t in enumerate(times) for u in (0, i // 4 + 1)])
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    want = sorted(con.execute(registry.ORACLES["ledger_merge"]).fetchall())
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Pacific/Apia"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert sorted(merged_rows(spark, tmp_path)) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r[:3] for r in want] == [(0, "-1-03-04", 7), (1, "2011-12-29", 3), (2, "-1-03-04", 4)]
