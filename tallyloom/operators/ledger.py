@@ -21,10 +21,12 @@ ACTIVE_MS, DAYS, ACTS, DISMISSALS, COOLDOWN_DAYS = 30 * 60_000, 2, 1, 2, 45
 def epoch_ms(events: DataFrame, ts: str) -> Column:
     """Milliseconds since 1970: rounded, halves away from 0, as DuckDB 2.0's epoch_ms does.  A time without a zone
     counts as it reads, whatever the session's zone."""
+    div = lambda a, b: F.call_function("div", a, b)
     if isinstance(events.schema[ts].dataType, TimestampNTZType):
-        seconds = (F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz")).cast("interval second").cast("decimal(18,6)")
-        return (F.round(seconds, 3) * 1000).cast("long")
-    return F.call_function("div", F.round(F.unix_micros(F.col(ts).cast("timestamp")), -3), F.lit(1000))
+        micros = div(F.col(ts) - F.lit("1970-01-01").cast("timestamp_ntz"), F.expr("interval '0.000001' second"))
+    else:
+        micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return div(micros, F.lit(1000)) + div(micros % 1000, F.lit(500))
 
 
 def date_text(events: DataFrame, ts: str) -> Column:

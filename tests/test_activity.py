@@ -73,3 +73,15 @@ def test_dates_as_sql_has_them(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert [r[:3] for r in want] == [(0, "-1-03-04", 7), (1, "2011-12-29", 3), (2, "-1-03-04", 4)]
+
+
+def test_far_times(spark, tmp_path):
+    """Times of any year; seconds since 1970 of more than twelve digits failed."""
+    con = duckdb.connect()
+    times = ["33658-09-27 01:46:41", "33658-09-27 03:46:40.9995", "294247-01-10 03:00:00.0005", "294247-01-10 04:00:00.0005", "200000-03-04 (BC) 05:06:07.0015", "200000-03-04 (BC) 06:06:07.001", "2024-01-01 00:00:00"]
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    con.executemany("insert into events values (?, ?::timestamp, ?, 'view', 1.0, null)", [(2 * i, t, u) for i, t in enumerate(times) for u in (0, i // 2 + 1)])
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = registry.QUERIES["active_time"](spark, str(tmp_path)).select("user_id", "device", "active_ms").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["active_time"]).fetchall())
+    assert sorted(merged_rows(spark, tmp_path)) == sorted(con.execute(registry.ORACLES["ledger_merge"]).fetchall())
